@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakgauge.plans import records
+from leakgauge.plans import audit, calls, corpus, records, scoring
 
-_MODULES = (records,)
+_MODULES = (records, corpus, scoring, calls, audit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.p3_found(spark, sf_dir)
+    return corpus.m3_overlap_by_item(spark, sf_dir)
