@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import random
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakgauge.operators import items as it
 from leakgauge.operators import ledger, sample
+from leakgauge.operators.packed import split_packed
 from leakgauge.session import table
 
 SENT = "transport_smoke_2026_08_16"
@@ -123,8 +127,6 @@ def mt_sample(spark: SparkSession, d: str) -> DataFrame:
     # The position of a test item; test sets are small, their ids are not dense.
     ranked = it.next_answer(t.withColumn("one", F.lit(1)), "one", "item_id", "item_id", "next_id")
     pos = ranked.select("item_id", "bench", F.col("next_id"))
-    from pyspark.sql import Window
-
     pos = pos.withColumn("row_idx", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("int"))
     return pos.join(F.broadcast(sample.twister_sample(spark, n, 50)), "row_idx").select("item_idx", "item_id", "bench")
 
@@ -149,22 +151,19 @@ def plant_next_answer(spark: SparkSession, d: str) -> DataFrame:
 
 def option_permutation(spark: SparkSession, d: str) -> DataFrame:
     """Choices of every exam item shuffled by its own seed, with the letter of the true one."""
-    from leakgauge.operators.packed import split_packed
-
     t = table(spark, d, "smoke_backtrans_bc")
     one = ledger.last_wins(t.select("i", "line_no", "truth_idx", "secenekler"), ["i"], "line_no")
     vals = split_packed(one, "secenekler").groupBy("i").agg(F.max("truth_idx").alias("truth_idx"), F.sort_array(F.collect_list(F.struct("pos", "val"))).alias("v"))
     vals = vals.select("i", "truth_idx", F.col("v.val").alias("choices"))
     # The shuffle depends on the item's seed and the number of choices only.
-    seeds = spark.sparkContext
-    del seeds
-    import random
-
-    @F.udf("array<int>")
-    def perm(i, k):
-        order = list(range(k))
-        random.Random(42 + i).shuffle(order)
-        return order
+    @F.pandas_udf("array<int>")
+    def perm(i: pd.Series, k: pd.Series) -> pd.Series:
+        orders = []
+        for seed, n in zip(i, k):
+            order = list(range(n))
+            random.Random(42 + int(seed)).shuffle(order)
+            orders.append(order)
+        return pd.Series(orders)
 
     got = vals.withColumn("perm", perm("i", F.size("choices")))
     return got.select("i", sample.permuted(F.col("choices"), F.col("perm")).alias("shuffled"), sample.new_letter(F.col("perm"), F.col("truth_idx")).alias("new_letter"))
