@@ -42,13 +42,15 @@ MARGIN = 40
 FILTER_SEEDS = 2_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_BREAK = re.compile(r"(?<=\w)[-‐­¬]\s*\r?\n[\s>*#|]*(?=\w)")
+_BREAK = re.compile(r"(?<=\w)[-\u2010\u00ad\u00ac]\s*\r?\n[\s>*#|]*(?=\w)")
 _BLOCK = re.compile(r"</?(?:br|p|div|li|ul|ol|tr|td|th|table|h[1-6]|hr|blockquote|pre|section|article)\b[^<>]{0,200}>", re.I)
 _TAG = re.compile(r"<(?:/?[A-Za-z][^<>]{0,200}|!--.{0,200}?--)>", re.S)
 _LINK = re.compile(r"\]\([^()\s]{1,300}\)")
 _TEX = re.compile(r"\\(?:[A-Za-z]{2,12}\*?)(?=\{)")
 _U = re.compile(r"\\u([0-9a-fA-F]{4})")
-_FOLD = {ord(a): b for a, b in zip("ıçğöşüâîûýþðéèêáàíóúãõäëïñ", "icgosuaiuisgeeeaaiouaoaein")} | {ord(c): None for c in "­​‌‍‎‏⁠﻿̧̨̦̀́̂̃̄̆̇̈̌"}
+_SILENT = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
+_MARKS = "\u0327\u0328\u0326\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u030a\u030c"
+_FOLD = {ord(a): b for a, b in zip("ıçğöşüâîûýþðéèêáàíóúãõäëïñ", "icgosuaiuisgeeeaaiouaoaein")} | {ord(c): None for c in _SILENT + _MARKS}
 _FOREIGN = {ord(c): p[-1] for c, p in RESEMBLES.items() if c.islower() and len(p) and p[-1].isascii()}
 
 
@@ -205,7 +207,8 @@ def found(docs: DataFrame, doc_text: str, doc_key: str, items: DataFrame, item_t
                     out[0].append(d)
                     out[1].append(np.unique(s[g]))
                     out[2].append(h[lo:hi])
-            yield pd.DataFrame({"doc": pd.Series(out[0], dtype=b["doc"].dtype), "seeds": out[1], "part": out[2]})
+            if out[0]:
+                yield pd.DataFrame({"doc": pd.Series(out[0], dtype=b["doc"].dtype), "seeds": pd.Series(out[1], dtype=object), "part": pd.Series(out[2], dtype=object)})
 
     rows = docs.select(F.col(f"`{doc_key}`").alias("doc"), F.col(f"`{doc_text}`").alias("text")).where(F.length("text") > 0)
     rows = spread(rows)

@@ -45,11 +45,11 @@ RESEMBLES = {
     "ꜱ": "s", "ɪ": "I", "ǝ": "e", "ƨ": "s", "ƽ": "s", "ɴ": "N", "ʀ": "R", "ʙ": "B", "ʜ": "H", "ĸ": "k", "ȷ": "j",
 }
 #: Combining marks that look like the mark of a Turkish letter.
-MARKS = {"̦": "̧", "̢": "̧", "̡": "̧", "̌": "̆", "̑": "̆"}
+MARKS = {"\u0326": "\u0327", "\u0322": "\u0327", "\u0321": "\u0327", "\u030c": "\u0306", "\u0311": "\u0306"}
 PLAIN = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZçğıöşüÇĞİÖŞÜâîûÂÎÛ0123456789_")
-HYPHENS = frozenset("‐‑﹣－")
-FILLERS = frozenset("͏ᅟᅠ឴឵᠋᠌᠍᠎ㅤﾠ")
-_JOINERS = "‌‍"
+HYPHENS = frozenset("\u2010\u2011\ufe63\uff0d")
+FILLERS = frozenset("\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u3164\uffa0")
+_JOINERS = "\u200c\u200d"
 #: A text without a match needs no look at all.
 ODD = r"[^\x20-\x7E\n\r\tçğıöşüÇĞİÖŞÜ]"
 
@@ -71,7 +71,7 @@ def ignorable(s: str, i: int) -> bool:
         return False
     before, after = s[i - 1 : i], s[i + 1 : i + 2]
     if 0xFE00 <= ord(c) <= 0xFE0F or 0xE0100 <= ord(c) <= 0xE01EF:
-        return not (before and _emoji(before) and not before.isdigit() or before.isdigit() and after == "⃣" or before and ord(before) >= 0x2E80)
+        return not (before and _emoji(before) and not before.isdigit() or before.isdigit() and after == "\u20e3" or before and ord(before) >= 0x2E80)
     if 0xE0020 <= ord(c) <= 0xE007F:
         return "\U0001f3f4" not in s[max(0, i - 8) : i]
     if c in FILLERS:
@@ -79,7 +79,7 @@ def ignorable(s: str, i: int) -> bool:
     if unicodedata.category(c) not in ("Cf", "Cc"):
         return False
     if c in _JOINERS and before and after:
-        if c == "‍" and _emoji(before) and _emoji(after) and not (before + after).isascii() and not before.isdigit() and not after.isdigit():
+        if c == "\u200d" and _emoji(before) and _emoji(after) and not (before + after).isascii() and not before.isdigit() and not after.isdigit():
             return False
         if _joins(before) and _joins(after):
             return False
@@ -107,7 +107,7 @@ def prepare(s: str) -> str:
     """Ignorables out, blanks, hyphens, width and forms plain, letters composed."""
     kept = "".join(letter_form(c) for i, c in enumerate(s) if c < "\x7f" and c >= " " or not ignorable(s, i))
     out = unicodedata.normalize("NFC", kept)
-    return re.sub("([iıіjι])̇+", lambda m: {"ı": "i"}.get(m[1], m[1]), out)
+    return re.sub("([iıіjι])\u0307+", lambda m: {"ı": "i"}.get(m[1], m[1]), out)
 
 
 _TOKEN = re.compile(r"[^\W_](?:[̀-ͯ]|[^\W_])*")
@@ -132,7 +132,7 @@ def by_table(token: str) -> str:
     d = unicodedata.normalize("NFD", token)
     if any(_latin(c) and c not in RESEMBLES for c in d) or any(c.isdigit() for c in d):
         d = "".join(choices(c)[-1] if c in RESEMBLES else MARKS.get(c, c) if unicodedata.normalize("NFC", p + MARKS.get(c, c)) in PLAIN else c for p, c in zip(" " + d, d))
-        return re.sub("i̇+", "i", unicodedata.normalize("NFC", d))
+        return re.sub("i\u0307+", "i", unicodedata.normalize("NFC", d))
     return token
 
 
@@ -140,7 +140,7 @@ def skeleton(token: str) -> str:
     """Equal for every spelling that the automaton matches at no cost."""
     d = unicodedata.normalize("NFD", token)
     out = "".join(choices(c)[-1] if c in RESEMBLES else MARKS.get(c, c) for c in d)
-    return out.replace("ı", "i").replace("̇", "")
+    return out.replace("ı", "i").replace("\u0307", "")
 
 
 class Trie:
@@ -176,7 +176,7 @@ class Trie:
             for x in steps:
                 if x in node:
                     states.append((i + 1, node[x]))
-            if c == "̇" and i and d[i - 1] in "iјіj":
+            if c == "\u0307" and i and d[i - 1] in "iјіj":
                 states.append((i + 1, node))
         return min(found, key=lambda w: (-w[1], w[0]))[0] if found else None
 

@@ -32,7 +32,7 @@ from leakgauge.session import cut, spread
 #: Encodings that UTF-8 bytes get read as, and single-byte ones that get confused.
 AS_UTF8 = ("cp1252", "cp1254", "mac_roman", "cp437", "cp850", "cp857", "cp1251", "cp1250", "iso8859_15", "mac_turkish", "iso8859_2", "cp866", "koi8_r", "cp1253", "cp852")
 SWAPS = tuple((a, b) for a in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "cp857") for b in ("cp1254", "cp857", "mac_turkish", "cp1252", "cp850") if a != b)
-LOST = "�"
+LOST = "\ufffd"
 #: Texts without any of these need no look: C1 controls, signs and foreign letters.
 SUSPECT = r"[^\x00-\x7FçğıöşüÇĞİÖŞÜâîûÂÎÛ“”’‘—–…]"
 
@@ -115,7 +115,8 @@ def as_utf8(s: str, name: str) -> str:
 @lru_cache(maxsize=128)
 def _swap_table(src: str, dst: str) -> dict[int, str]:
     to, back = to_bytes(src), from_byte(dst)
-    return {ord(c): back[b] for c, b in to.items() if back[b] not in (c, LOST) and back[b].isalpha()}
+    # Blanks and soft hyphens stay: they stand in correct text as well.
+    return {ord(c): back[b] for c, b in to.items() if back[b] not in (c, LOST) and back[b].isalpha() and c not in "\xa0\xad"}
 
 
 def unescaped(s: str) -> str:
@@ -224,15 +225,11 @@ MOVE, RARER, SWAP = 0.1, 0.25, 1.5
 GAIN = 2.2
 #: States that one search opens at most; words need two to four.
 BUDGET = 24
+#: A move: the encoding taken back to bytes, and the one they are decoded with.
 Swap = tuple[str, str]
 
 
-@lru_cache(maxsize=200_000)
-def cheapest(s: str) -> tuple[str, float, tuple[Swap, ...]]:
-    """``(text, what it gains, swaps on the way)`` of the cheapest text reachable from ``s``."""
-    start = cost(s)
-    if start < GAIN:
-        return s, 0.0, ()
+def _best_first(s: str, start: float, swaps: bool) -> tuple[str, float, tuple[Swap, ...]]:
     best, best_cost, best_path = s, start, ()
     heap, seen, order, opened = [(start, 0, s, 0, (), 0.0)], {hash(s)}, 0, 0
     while heap and opened < BUDGET:
@@ -242,9 +239,9 @@ def cheapest(s: str) -> tuple[str, float, tuple[Swap, ...]]:
             best, best_cost, best_path = state, c, path
         if depth >= 5 or c > start + 4 or c < 0.4 + spent:
             continue
-        nexts = [(as_utf8(state, name), path, 0.0 if name == "cp1252" else RARER) for name in AS_UTF8 if _lead(name).search(state)]
-        if not path and any(_kind(x) in "atl" for x in state):
-            nexts += [(state.translate(_swap_table(a, b)), ((a, b),), SWAP) for a, b in SWAPS]
+        nexts = [(as_utf8(state, name), (*path, (name, "utf-8")), 0.0 if name == "cp1252" else RARER) for name in AS_UTF8 if _lead(name).search(state)]
+        if swaps and all(b == "utf-8" for _, b in path):
+            nexts += [(state.translate(_swap_table(a, b)), (*path, (a, b)), SWAP) for a, b in SWAPS]
         if "&" in state or "\\" in state:
             nexts.append((unescaped(state), path, 0.0))
         for x, way, extra in nexts:
@@ -253,8 +250,25 @@ def cheapest(s: str) -> tuple[str, float, tuple[Swap, ...]]:
                 seen.add(h)
                 order += 1
                 heapq.heappush(heap, (cost(x) + spent + MOVE + extra, order, x, depth + 1, way, spent + MOVE + extra))
+    return best, best_cost, best_path
+
+
+@lru_cache(maxsize=200_000)
+def cheapest(s: str) -> tuple[str, float, tuple[Swap, ...]]:
+    """``(text, what it gains, moves on the way)`` of the cheapest text reachable from ``s``.
+
+    Moves by UTF-8 leave no choice of letters and are searched first; single-byte
+    swaps, which can turn anything into letters, only where those leave half of
+    the cost.
+    """
+    start = cost(s)
+    if start < GAIN:
+        return s, 0.0, ()
+    best, best_cost, path = _best_first(s, start, False)
+    if best_cost > 0.5 * start and any(_kind(x) in "atl" for x in s):
+        best, best_cost, path = _best_first(s, start, True)
     gain = start - best_cost
-    return (best, gain, best_path) if best != s and gain >= GAIN else (s, 0.0, ())
+    return (best, gain, path) if best != s and gain >= GAIN else (s, 0.0, ())
 
 
 _STRETCH = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)|[.!?]|\n|$)")
@@ -273,8 +287,8 @@ def stretches(s: str) -> list[str]:
 def search(s: str) -> tuple[str, bool]:
     """Restored text and whether any part was changed or is lost.
 
-    Parts between blanks are searched on their own, the same part once. A
-    single-byte swap that one part proves holds for the whole stretch.
+    Parts between blanks are searched on their own, the same part once. A move
+    that one part proves holds for the rest of its stretch where it does no harm.
     """
     if not _SUSPECT.search(s):
         return s, False
@@ -295,9 +309,19 @@ def search(s: str) -> tuple[str, bool]:
                 return y
 
             y = _PART.sub(one, x)
-            for swap in dict.fromkeys(swaps):
-                table = _swap_table(*swap)
-                y = _PART.sub(lambda m: z if m[0] in x and (z := m[0].translate(table)) != m[0] and cost(z) <= cost(m[0]) + 0.3 else m[0], y)
+            for move in dict.fromkeys(swaps):
+
+                def again(m: re.Match, move: Swap = move) -> str:
+                    w = m[0]
+                    if w not in x or w.isascii():
+                        return w
+                    if move[1] != "utf-8":
+                        z = w.translate(_swap_table(*move))
+                    else:
+                        z = as_utf8(w, move[0]) if _lead(move[0]).search(w) else w
+                    return z if z != w and cost(z) <= cost(w) + 0.5 else w
+
+                y = _PART.sub(again, y)
             x = y
         out.append(x)
     return "".join(out), hit
