@@ -127,7 +127,7 @@ def parse(text: str | None, depth: int = 0) -> tuple[str, list[str] | None]:
     For a bare field the text itself (without enclosing brackets) is returned as
     the only value; ``segment`` cuts it.
     """
-    s = (text or "").strip().lstrip("﻿")
+    s = (text or "").strip().lstrip("\ufeff")
     if not s:
         return "empty", []
     if depth < 8 and s[0] in "\"'" and s[-1] == s[0] and (got := _literal(s, 0)) and got[1] == len(s) and got[0].lstrip()[:1] in ("[", "(", '"', "'", "{"):
