@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from leakgauge.functions.text import letter_of
 
 
+# The wording of prompts, which logged answers refer to.
+QUESTION, OPTIONS = "Soru: ", "\n\nSecenekler:\n"
+WHICH, ANSWER = "\n\nHangisi doğru cevaptır?\nA) ", "\n\nCevap (tek harf A/B):"
+
+
 def surface_text(question: Column, body: Column) -> Column:
     """Question, a blank, then the answer or the choices; trimmed."""
     q, b = F.trim(F.coalesce(question, F.lit(""))), F.trim(F.coalesce(body, F.lit("")))
@@ -22,7 +27,7 @@ def choices_body(choices: Column) -> Column:
 def exam_text(question: Column, choices: Column) -> Column:
     """The question with its lettered options, a line each."""
     lines = F.transform(choices, lambda c, i: F.concat(letter_of(i), F.lit(") "), c))
-    return F.concat(F.lit("Soru: "), question, F.lit("\n\nSecenekler:\n"), F.array_join(lines, "\n"))
+    return F.concat(F.lit(QUESTION), question, F.lit(OPTIONS), F.array_join(lines, "\n"))
 
 
 def normal_answer(answer: Column, n_choices: Column) -> tuple[Column, Column]:
@@ -62,5 +67,5 @@ def flip_prompt(question: Column, truth: Column, edited: Column, truth_first: Co
     """Two-way prompt of true and edited answer; null where one is blank or both are equal."""
     t, e = F.trim(truth), F.trim(edited)
     a, b = F.when(truth_first, t).otherwise(e), F.when(truth_first, e).otherwise(t)
-    text = F.concat(F.lit("Soru: "), question, F.lit("\n\nHangisi doğru cevaptır?\nA) "), a, F.lit("\nB) "), b, F.lit("\n\nCevap (tek harf A/B):"))
+    text = F.concat(F.lit(QUESTION), question, F.lit(WHICH), a, F.lit("\nB) "), b, F.lit(ANSWER))
     return F.when((F.length(t) > 0) & (F.length(e) > 0) & (t != e), text)

@@ -16,13 +16,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leakgauge.functions.cache import short_cache
 from leakgauge.session import cut, spread
 
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", re.S)
@@ -285,14 +285,14 @@ _PARSED = T.StructType(
 )
 
 
-@lru_cache(maxsize=50_000)
-def _parse_cached(text: str) -> tuple[str, tuple[str, ...]]:
+@short_cache(50_000, 1_000)
+def _parsed(text: str) -> tuple[str, tuple[str, ...]]:
     kind, values = parse(text)
     return kind, tuple(values)
 
 
 def _parse_batch(texts: pd.Series) -> pd.DataFrame:
-    got = [_parse_cached(x) if isinstance(x, str) and len(x) < 10_000 else parse(x) for x in texts]
+    got = [_parsed(x or "") for x in texts]
     return pd.DataFrame({"kind": [k for k, _ in got], "vals": [list(v) for _, v in got]})
 
 
@@ -326,8 +326,13 @@ def split_packed(df: DataFrame, field: str, out_pos: str = "pos", out_val: str =
 
     # A bare text that many rows share is joined once.
     texts = bare.select("text").distinct()
-    cand = F.udf(lambda s, d: stretches(s, int(d or 0) + 1), T.ArrayType(T.StringType()))
-    asked = texts.crossJoin(F.broadcast(widest)).select("text", F.explode(cand("text", "d")).alias("v"))
+    longest = int(widest.first()[0] or 0) + 1  # one number: no known value has more delimiters
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def candidates(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: stretches(x, longest))
+
+    asked = texts.select("text", F.explode(candidates("text")).alias("v"))
     hits = asked.join(known, "v").groupBy("text").agg(F.collect_set("v").alias("hits"))
     # Words are few per language but unbounded in principle: joined like the values.
     said = texts.select("text", F.explode(F.expr(r"array_distinct(regexp_extract_all(text, r'[;|]\s*([^\s;|]+)', 1))")).alias("w"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakgauge.functions import letters, stats
@@ -52,25 +52,33 @@ def mcnemar_exact(spark: SparkSession, d: str) -> DataFrame:
     return cells.discordant(wide, ["subject"], "blackbox", "choice_sub").select("subject", "pos", "neg", F.round("p_raw", 4).alias("p"))
 
 
-def _pvals(spark: SparkSession, d: str) -> DataFrame:
-    a = m2a_cell(spark, d).select("model", F.lit("M2a").alias("probe"), F.lit("flip").alias("test"), "p_raw")
-    b = m2b_cell(spark, d)
-    for name in ("B_vs_A", "C_vs_A", "C_vs_B"):
-        a = a.unionByName(b.select("model", F.lit("M2b").alias("probe"), F.lit(name).alias("test"), F.col(f"{name}_p").alias("p_raw")))
-    return a
+TESTS = ("B_vs_A", "C_vs_A", "C_vs_B")
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """Flip and arm cells of each model in one row, so that neither is worked out twice."""
+    a = m2a_cell(spark, d).select("model", "flip_rate", F.col("p_raw").alias("flip_p"))
+    b = m2b_cell(spark, d).select("model", F.col("B_acc").alias("b_acc"), F.col("C_acc").alias("c_acc"), *[f"{t}_p" for t in TESTS])
+    return a.join(b, "model", "full")
 
 
 def bonferroni(spark: SparkSession, d: str) -> DataFrame:
-    return cells.corrected(_pvals(spark, d), ["probe"])
+    each = [F.struct(F.lit("M2a").alias("probe"), F.lit("flip").alias("test"), F.col("flip_p").alias("p_raw"))]
+    each += [F.struct(F.lit("M2b").alias("probe"), F.lit(t).alias("test"), F.col(f"{t}_p").alias("p_raw")) for t in TESTS]
+    long = _cells(spark, d).select("model", F.inline(F.array(*each))).where("p_raw is not null")
+    return cells.corrected(long, ["probe"])
 
 
 def consensus_dual(spark: SparkSession, d: str) -> DataFrame:
     """Cells by model: both readings of the rule and the adjudication."""
     m1 = m1_cell(spark, d).select("model", "mean_overlap8", "verbatim_rate")
-    m2a = m2a_cell(spark, d).select("model", "flip_rate")
-    m2b = m2b_cell(spark, d).select("model", F.col("B_acc").alias("b_acc"), F.col("C_acc").alias("c_acc"))
-    p = bonferroni(spark, d).groupBy("model").agg(F.min("p_bonf").alias("min_p"))
-    return cells.consensus(m2a.join(m2b, "model", "full").join(m1, "model", "full").join(p, "model", "left"))
+    both = _cells(spark, d).join(m1, "model", "full")
+    # A family is all tests of a probe over the models; there are as many rows as models.
+    every = Window.partitionBy(F.lit(1))
+    both = both.withColumns({"n_a": F.count("flip_p").over(every), "n_b": sum((F.count(f"{t}_p").over(every) for t in TESTS), F.lit(0))})
+    ps = [stats.bonferroni(F.col("flip_p"), F.col("n_a")), *[stats.bonferroni(F.col(f"{t}_p"), F.col("n_b")) for t in TESTS]]
+    full = both.withColumn("min_p", F.array_min(F.array(*ps))).select("model", "flip_rate", "b_acc", "c_acc", "mean_overlap8", "verbatim_rate", "min_p")
+    return cells.consensus(full)
 
 
 def arm_crosstab(spark: SparkSession, d: str) -> DataFrame:

@@ -17,6 +17,7 @@ SENT = "transport_smoke_2026_08_16"
 SPEND = "spend_full_2026_08_16"
 PROBES = ["blackbox", "choice_sub"]
 EVERY = 500
+# Fixed value: errors after which a call may be tried again.
 RETRYABLE = r"(?i)(429|5\d\d|rate.?limit|overload|too many|timeout|timed out|connection|econn)"
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leakgauge.plans import audit, calls, corpus, records, scoring, streams
+from leakgauge.plans import audit, calls, corpus, prompts, records, scoring, streams
 
-_MODULES = (records, corpus, scoring, calls, audit, streams)
+_MODULES = (records, corpus, scoring, calls, audit, prompts, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
