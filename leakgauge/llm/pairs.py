@@ -19,13 +19,13 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakgauge.functions.cache import short_cache
 from leakgauge.session import cut
 
 EMPTY, REFUSAL, COPY, LANGUAGE, TRUNCATED = "empty", "refusal", "copies_question", "other_language", "truncated"
@@ -82,7 +82,7 @@ _CLOSED = re.compile(r"[.!?…。:)\]}\"'”’»*`|>✅✔🙂️☑]$|[^\w\s,;
 _FOLD = str.maketrans("ıçğöşüâîûâ", "icgosuaiua")
 
 
-@lru_cache(maxsize=100_000)
+@short_cache(100_000)
 def fold(s: str) -> str:
     s = s.lower().translate(_FOLD)
     if not s.isascii():
@@ -91,14 +91,16 @@ def fold(s: str) -> str:
     return s
 
 
+_HIDDEN = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f\xad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ue000-\uf8ff\ufeff\ufff9-\ufffb\U000e0000-\U000e007f]")
+
+
+@short_cache(20_000, 2_000)
 def seen(s: str) -> str:
     """What a reader sees of an answer: no tags, entities, fences or invisible characters."""
     s = html.unescape(s) if "&" in s else s
     if "<" in s:
         s = re.sub(r"</?[A-Za-z][^<>]{0,100}>|<!--.*?-->", " ", s, flags=re.S)
-    if not s.isascii():
-        s = "".join(c for c in s if unicodedata.category(c) not in ("Cf", "Cc", "Co", "Cn") or c in "\n\t")
-    return s.strip()
+    return _HIDDEN.sub("", s).strip()
 
 
 _OPTION = re.compile(r"^\s*\(?([A-Ja-j])[).:]\s*(.+?)\s*$", re.M)
@@ -106,7 +108,7 @@ _HEAD = re.compile(r"^\s*(?:soru|question)\s*\d*\s*[:.]\s*", re.I)
 _OPTHEAD = re.compile(r"\n\s*(?:se[çc]enekler|options|[şs][ıi]klar|choices)\s*:?\s*\n", re.I)
 
 
-@lru_cache(maxsize=50_000)
+@short_cache(50_000, 2_000)
 def parts(prompt: str) -> tuple[str, tuple[tuple[str, str], ...]]:
     """Question and options (letter, text) of a prompt."""
     m = _OPTHEAD.search(prompt)
@@ -202,35 +204,40 @@ def without_options(answer: str, opts: tuple[tuple[str, str], ...]) -> str:
     return re.sub(r"[\"“”«»„].{1,60}?[\"“”«»„]", " ", answer)
 
 
+# Scripts by the names of their letters.
+_SCRIPTS = (("CYRILLIC", "ru"), ("ARABIC", "ar"), ("GREEK", "el"), ("CJK", "zh"), ("HIRAGANA", "ja"), ("KATAKANA", "ja"), ("HANGUL", "ko"), ("HEBREW", "he"), ("DEVANAGARI", "hi"), ("THAI", "th"))
+_SIGNS = (("ğış", "tr"), ("ßä", "de"), ("ñ", "es"), ("èêàœ", "fr"), ("ãõ", "pt"))
+
+
+@short_cache(200_000, 60)
+def word_votes(w: str) -> tuple[tuple[str, float], ...]:
+    """What one word says for each language; names, being capitalised, say little."""
+    out = []
+    c = w[0]
+    if not c.isascii() and len(w) > 1:
+        n = unicodedata.name(c, "")
+        out += [(code, 1.0) for script, code in _SCRIPTS if n.startswith(script)]
+    f = fold(w).split("'")[0]
+    if len(f) > 1:
+        out += list(_LEX.get(f, {}).items())
+    if c.islower() and not w.isascii():
+        out += [(code, 0.5) for signs, code in _SIGNS if any(x in w for x in signs)]
+    return tuple(out)
+
+
+_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+
+
 def votes(text: str) -> dict[str, float]:
-    """Evidence for each language in running text, names left aside."""
+    """Evidence for each language in running text."""
     out: dict[str, float] = {}
-    for m in re.finditer(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text):
-        w = m[0]
-        c = w[0]
-        if not c.isascii() and len(w) > 1:
-            n = unicodedata.name(c, "")
-            for script, code in (("CYRILLIC", "ru"), ("ARABIC", "ar"), ("GREEK", "el"), ("CJK", "zh"), ("HIRAGANA", "ja"), ("KATAKANA", "ja"), ("HANGUL", "ko"), ("HEBREW", "he"), ("DEVANAGARI", "hi"), ("THAI", "th")):
-                if n.startswith(script):
-                    out[code] = out.get(code, 0.0) + 1.0
-        f = fold(w).split("'")[0]
-        for code, x in _LEX.get(f, {}).items() if len(f) > 1 else ():
+    for w in _LETTERS.findall(text):
+        for code, x in word_votes(w):
             out[code] = out.get(code, 0.0) + x
-        if c.islower():
-            if any(x in "ğış" for x in w):
-                out["tr"] = out.get("tr", 0.0) + 0.5
-            if any(x in "ßä" for x in w):
-                out["de"] = out.get("de", 0.0) + 0.5
-            if any(x in "ñ¿¡" for x in w):
-                out["es"] = out.get("es", 0.0) + 0.5
-            if any(x in "èêàœ" for x in w):
-                out["fr"] = out.get("fr", 0.0) + 0.5
-            if any(x in "ãõ" for x in w):
-                out["pt"] = out.get("pt", 0.0) + 0.5
     return out
 
 
-@lru_cache(maxsize=50_000)
+@short_cache(50_000, 2_000)
 def expected(prompt: str) -> str | None:
     """Language that the prompt asks for, else the one it is in."""
     f = fold(prompt[:400])
@@ -374,28 +381,25 @@ def flag_pairs(df: DataFrame, prompt: str, answer: str, key: list[str]) -> DataF
     """
     rows = df.select(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)]).alias("keep"), F.col(f"`{prompt}`").alias("p"), F.col(f"`{answer}`").alias("a"))
     rows = rows.withColumn("h", F.md5(F.concat(F.coalesce("p", F.lit("\u0000")), F.lit("\u0001"), F.coalesce("a", F.lit("\u0000")))))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # The hash is spread over as many tasks as there are cores at least: the bytes are few, the work on them isn't.
-    parts_ = max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    distinct = cut(rows.repartition(parts_, "h").groupBy("h").agg(F.first("p").alias("p"), F.first("a").alias("a")))
-
     # The terminal-context model: a text's last word against its other words, over all texts.
-    @F.pandas_udf("last string, state string, inner array<string>")
+    @F.pandas_udf("last string, inner array<string>")
     def contexts(a: pd.Series) -> pd.DataFrame:
         out = []
         for x in a:
-            if x is None:
-                out.append(("", "closed", []))
-                continue
-            state, word = ending(x)
-            ws = tokens(seen(x))
-            out.append((word, state, list(dict.fromkeys(ws[:-1]))))
-        return pd.DataFrame(out, columns=["last", "state", "inner"])
-
-    ctx = distinct.select("h", contexts("a").alias("c")).select("h", "c.last", "c.state", "c.inner")
-    wanted = ctx.where((F.col("state") == "bare") & (F.length("last") > 0))
+            ws = tokens(seen(x)) if x is not None else []
+            short = 0 < len(ws) <= 2 and ending(x)[0] == "bare"
+            out.append((ws[-1] if short else None, list(dict.fromkeys(ws[:-1]))))
+        return pd.DataFrame(out, columns=["last", "inner"])
+
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # Repeated pairs are folded before the shuffle, so a hot one is a row per task. The
+    # distinct ones are then dealt out evenly: their bytes are few, the work on them isn't.
+    parts_ = max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    distinct = rows.groupBy("h").agg(F.first("p").alias("p"), F.first("a").alias("a")).repartition(parts_)
+    distinct = cut(distinct.withColumn("c", contexts("a")).select("h", "p", "a", "c.last", "c.inner"))
+    wanted = distinct.where(F.col("last").isNotNull()).select("h", "last")
     ends = wanted.groupBy("last").agg(F.count("*").alias("n_end"))
-    goes = ctx.select(F.explode("inner").alias("last")).join(ends.select("last"), "last", "left_semi").groupBy("last").agg(F.count("*").alias("n_on"))
+    goes = distinct.select(F.explode("inner").alias("last")).groupBy("last").agg(F.count("*").alias("n_on"))
     model = ends.join(goes, "last", "left").select("last", (F.col("n_end") / (F.col("n_end") + F.coalesce("n_on", F.lit(0)))).alias("share"), "n_end")
     shares = wanted.join(model, "last").select("h", F.when(F.col("n_end") >= MIN_ENDS, F.col("share")).alias("share"))
 
