@@ -54,8 +54,12 @@ _FOLD = {ord(a): b for a, b in zip("ıçğöşüâîûýþðéèêáàíóúãõ
 _FOREIGN = {ord(c): p[-1] for c, p in RESEMBLES.items() if c.islower() and len(p) and p[-1].isascii()}
 
 
-def plain(s: str) -> str:
-    """Text in which only words matter: folded, without mark-up and escapes."""
+_RAW = re.compile("(?:[^\\W_]|[\u0300-\u036f\u00ad\u200b-\u200f\u2060\ufeff])+")
+_COMBINING = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
+
+
+def bare(s: str) -> str:
+    """Text without mark-up, escapes, line-end hyphens and wrong decoding."""
     if "\\u" in s:
         s = _U.sub(lambda m: chr(int(m[1], 16)), s)
     if "\\" in s:
@@ -68,41 +72,65 @@ def plain(s: str) -> str:
         s = _LINK.sub("] ", s)
     if not s.isascii():
         s = mojibake.search(s)[0]
-        s = unicodedata.normalize("NFC", s)
-    s = _BREAK.sub("", s)
-    s = s.lower()
-    if not s.isascii():
-        s = s.translate(_FOLD)
-        if not s.isascii():
-            s = unicodedata.normalize("NFKD", s).translate(_FOLD)
-            s = "".join(c for c in s if not unicodedata.combining(c))
-            s = _WORD.sub(lambda m: m[0].translate(_FOREIGN) if not m[0].isascii() and any("a" <= c <= "z" for c in m[0]) else m[0], s)
-    return s
+    return _BREAK.sub("", s) if "\n" in s else s
+
+
+def fold(w: str) -> list[str]:
+    """Plain words of one token: no case, accents, widths, look-alikes, silent characters."""
+    w = unicodedata.normalize("NFC", w).lower()
+    if not w.isascii():
+        w = w.translate(_FOLD)
+        if not w.isascii():
+            w = _COMBINING.sub("", unicodedata.normalize("NFKD", w).translate(_FOLD))
+            if any("a" <= c <= "z" for c in w):
+                w = w.translate(_FOREIGN)
+    return _WORD.findall(w)
 
 
 def words(s: str | None) -> list[str]:
-    return _WORD.findall(plain(s)) if s else []
+    return [x for w in _RAW.findall(bare(s)) for x in fold(w)] if s else []
 
 
-_SEEN: dict[str, int] = {}
+#: Hashes of the tokens a worker has met; a token is nearly always one word.
+_SEEN: dict[str, int | tuple[int, ...]] = {}
 
 
 def word_hashes(ws: list[str]) -> np.ndarray:
+    """Hashes of the plain words of raw tokens, in order."""
     if len(_SEEN) > 500_000:
         _SEEN.clear()
-    out = np.empty(len(ws), dtype=np.int64)
-    for i, w in enumerate(ws):
-        h = _SEEN.get(w)
+    get, many = _SEEN.get, False
+    got = [get(w) for w in ws]
+    for i, h in enumerate(got):
         if h is None:
-            h = _SEEN[w] = xxhash.xxh64_intdigest(w.encode()) - (1 << 63)
-        out[i] = h
-    return out
+            h = get(ws[i])
+            if h is None:
+                hs = tuple(xxhash.xxh64_intdigest(x.encode()) - (1 << 63) for x in fold(ws[i]))
+                h = hs[0] if len(hs) == 1 else hs
+                if len(ws[i]) <= 60:
+                    _SEEN[ws[i]] = h
+            got[i] = h
+        if type(h) is tuple:
+            many = True
+    if many:
+        got = [x for h in got for x in (h if type(h) is tuple else (h,))]
+    return np.array(got, dtype=np.int64)
+
+
+def text_hashes(s: str | None) -> np.ndarray:
+    return word_hashes(_RAW.findall(bare(s))) if s else np.zeros(0, np.int64)
 
 
-def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first place of every seed in a vector of word hashes."""
+def seeds(h: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first place of every seed in a vector of word hashes.
+
+    ``bounds`` holds where texts begin and end in the vector (first 0, last its
+    length); a seed never reaches from one text into the next.
+    """
     hashes, places = [], []
     u = h.view(np.uint64)
+    if bounds is not None:
+        room = np.repeat(bounds[1:], np.diff(bounds))  # where the text of each word ends
     for mask in MASKS:
         n = len(h) - mask[-1]
         if n <= 0:
@@ -111,13 +139,34 @@ def seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in mask:
             x = (x ^ u[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             x ^= x >> np.uint64(29)
+        at = np.arange(n)
+        if bounds is not None:
+            fits = at + mask[-1] < room[:n]
+            x, at = x[fits], at[fits]
         hashes.append(x.view(np.int64))
-        places.append(np.arange(n))
+        places.append(at)
     if not hashes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(places)
 
 
+class Filter:
+    """Exact membership in a set of hashes; a table of their low bits answers most at once."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known = known
+        self.table = np.zeros(1 << 22, dtype=bool)
+        self.table[known & ((1 << 22) - 1)] = True
+
+    def hits(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(0, dtype=np.int64)
+        maybe = np.flatnonzero(self.table[s & ((1 << 22) - 1)])
+        where = np.searchsorted(self.known, s[maybe])
+        where[where == len(self.known)] = 0
+        return maybe[self.known[where] == s[maybe]]
+
+
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """``(words in order, edits between them)`` of the best local alignment.
 
@@ -157,7 +206,7 @@ def item_seeds(items: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            hs = [word_hashes(words(t)) for t in b["text"]]
+            hs = [text_hashes(t) for t in b["text"]]
             yield pd.DataFrame({"item": b["item"], "words": hs, "seeds": [np.unique(seeds(h)[0]) for h in hs]})
 
     kind = items.schema[key].dataType.simpleString()
@@ -180,35 +229,39 @@ def found(docs: DataFrame, doc_text: str, doc_key: str, items: DataFrame, item_t
     told = docs.sparkSession.sparkContext.broadcast(known)
     kind = docs.schema[doc_key].dataType.simpleString()
 
+    def stretches_of(ids: list, vectors: list[np.ndarray], known: Filter | None) -> Iterator[tuple]:
+        """Id, distinct seeds and words of each stretch with hits, the texts taken together."""
+        bounds = np.concatenate([[0], np.cumsum([len(v) for v in vectors])])
+        h = np.concatenate(vectors) if vectors else np.zeros(0, np.int64)
+        s, p = seeds(h, bounds)
+        if known is not None:
+            hit = known.hits(s)
+            s, p = s[hit], p[hit]
+        order = np.argsort(p, kind="stable")
+        s, p = s[order], p[order]
+        doc = np.searchsorted(bounds, p, side="right") - 1
+        # Hits of one text closer than the margin belong to one stretch.
+        breaks = np.flatnonzero((np.diff(p) > MARGIN) | (np.diff(doc) > 0)) + 1
+        for g in np.split(np.arange(len(p)), breaks) if len(p) else ():
+            d = doc[g[0]]
+            lo, hi = max(bounds[d], p[g[0]] - MARGIN), min(bounds[d + 1], p[g[-1]] + MARGIN + 6)
+            yield ids[d], np.unique(s[g]), h[lo:hi]
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = told.value
+        known = None if told.value is None else Filter(told.value)
         for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
+            ids, vectors, size, out = [], [], 0, []
             for d, t in zip(b["doc"], b["text"]):
-                h = word_hashes(words(t))
-                s, p = seeds(h)
-                if not len(s):
-                    continue
-                if known is not None:
-                    if not len(known):
-                        continue
-                    where = np.searchsorted(known, s)
-                    where[where == len(known)] = 0
-                    hit = known[where] == s
-                    s, p = s[hit], p[hit]
-                    if not len(s):
-                        continue
-                order = np.argsort(p, kind="stable")
-                s, p = s[order], p[order]
-                # Hits closer than the margin belong to one stretch.
-                groups = np.split(np.arange(len(p)), np.flatnonzero(np.diff(p) > MARGIN) + 1)
-                for g in groups:
-                    lo, hi = max(0, int(p[g[0]]) - MARGIN), int(p[g[-1]]) + MARGIN + 6
-                    out[0].append(d)
-                    out[1].append(np.unique(s[g]))
-                    out[2].append(h[lo:hi])
-            if out[0]:
-                yield pd.DataFrame({"doc": pd.Series(out[0], dtype=b["doc"].dtype), "seeds": pd.Series(out[1], dtype=object), "part": pd.Series(out[2], dtype=object)})
+                v = text_hashes(t)
+                ids.append(d)
+                vectors.append(v)
+                size += len(v)
+                if size > 500_000:  # a bound on memory; texts are never cut
+                    out += stretches_of(ids, vectors, known)
+                    ids, vectors, size = [], [], 0
+            out += stretches_of(ids, vectors, known)
+            if out:
+                yield pd.DataFrame({"doc": pd.Series([o[0] for o in out], dtype=b["doc"].dtype), "seeds": pd.Series([o[1] for o in out], dtype=object), "part": pd.Series([o[2] for o in out], dtype=object)})
 
     rows = docs.select(F.col(f"`{doc_key}`").alias("doc"), F.col(f"`{doc_text}`").alias("text")).where(F.length("text") > 0)
     rows = spread(rows)

@@ -8,7 +8,7 @@ WORDS = ITEM.split()
 
 
 def hit(doc, items=(ITEM,)):
-    return [lk.is_passage(*lk.align(lk.word_hashes(lk.words(doc)), lk.word_hashes(lk.words(t)))) for t in items]
+    return [lk.is_passage(*lk.align(lk.text_hashes(doc), lk.text_hashes(t))) for t in items]
 
 
 def test_notations():
@@ -41,8 +41,8 @@ def test_seeds_survive_one_edit():
 
 
 def brute(docs, items):
-    vec = {i: lk.word_hashes(lk.words(t)) for i, t in items if t}
-    return {(d, i) for d, t in docs if t for i, v in vec.items() if lk.is_passage(*lk.align(lk.word_hashes(lk.words(t)), v))}
+    vec = {i: lk.text_hashes(t) for i, t in items if t}
+    return {(d, i) for d, t in docs if t for i, v in vec.items() if lk.is_passage(*lk.align(lk.text_hashes(t), v))}
 
 
 def test_operator_equals_brute_force(spark):
