@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leakgauge.functions.cache import short_cache
 from leakgauge.session import cut, spread
 
 #: Encodings that UTF-8 bytes get read as, and single-byte ones that get confused.
@@ -253,7 +254,7 @@ def _best_first(s: str, start: float, swaps: bool) -> tuple[str, float, tuple[Sw
     return best, best_cost, best_path
 
 
-@lru_cache(maxsize=200_000)
+@short_cache(200_000, 200)
 def cheapest(s: str) -> tuple[str, float, tuple[Swap, ...]]:
     """``(text, what it gains, moves on the way)`` of the cheapest text reachable from ``s``.
 
@@ -368,7 +369,8 @@ def repaired(df: DataFrame, text: str, key: list[str]) -> DataFrame:
     asked = asked.withColumn("turkish", F.translate("found", "þýðÞÝÐ", "şığŞİĞ"))
     wanted = asked.select(F.explode(F.array("found", "turkish")).alias("w")).distinct()
     said = rows.where(F.col("text").rlike("[þýðÞÝÐşığŞİĞ]")).select(F.explode(F.expr(r"regexp_extract_all(text, r'\p{L}*[þýðÞÝÐşığŞİĞ]\p{L}*', 0)")).alias("w"))
-    counts = said.join(wanted, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    # Counted before the join, so a word is shuffled once per task and not once per place.
+    counts = said.groupBy("w").agg(F.count("*").alias("n")).join(wanted, "w", "left_semi")
     weighed = (
         asked.join(counts.select(F.col("w").alias("found"), F.col("n").alias("nf")), "found", "left")
         .join(counts.select(F.col("w").alias("turkish"), F.col("n").alias("nt")), "turkish", "left")
