@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from leakgauge.session import spread
 
 #: Distinct fragments that a worker keeps; beyond it the memory is emptied, never the result.
-REMEMBERED = 400_000
+REMEMBERED, REMEMBERED_BYTES = 400_000, 32_000_000
 
 
 def default_vocabulary() -> str:
@@ -75,6 +75,7 @@ class Encoder:
 
     def reset(self) -> None:
         self.place.clear()
+        self.size = 0
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def cuts(self, b: np.ndarray) -> np.ndarray:
@@ -108,7 +109,7 @@ class Encoder:
         marks[offsets] = True
         marks[[0, len(raw)]] = True
         edges = np.flatnonzero(marks)
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self.reset()
         place, cut_at = self.place, edges.tolist()
         frags = [raw[s:e] for s, e in zip(cut_at, cut_at[1:])]
@@ -117,6 +118,7 @@ class Encoder:
             got = self.tokenizer.encode_batch([f.decode() for f in new], add_special_tokens=False)
             first = len(place)
             place.update((f, first + k) for k, f in enumerate(new))
+            self.size += sum(map(len, new))
             counts = np.array([len(g.ids) for g in got], dtype=np.int64)
             starts = len(self.ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])
             self.ids = np.concatenate([self.ids, *[np.array(g.ids, dtype=np.int32) for g in got]])
