@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     a single machine is shared by definition. It is never made on a cluster.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(named)

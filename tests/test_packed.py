@@ -73,3 +73,42 @@ def test_round_trip():
         vals = [rnd.choice(words) for _ in range(rnd.randint(2, 6))]
         assert parse(repr(vals))[1] == vals
         assert segment("|".join(vals), set(), set()) == vals
+
+
+def test_segmentation_equals_brute_force():
+    """The cheapest cover is found: every way to cut a small field costs as much or more."""
+    import ahocorasick
+    from itertools import product
+
+    from leakgauge.operators.packed import _segment, pieces
+
+    rnd = random.Random(11)
+    atoms = ["su", "göl; ardından ay", "kuş", "x; y", "dal"]
+    for _ in range(150):
+        text = ";".join(rnd.choice(atoms) for _ in range(rnd.randint(2, 4)))
+        known = {a for a in atoms if rnd.random() < 0.6}
+        ps = pieces(text)
+        auto = ahocorasick.Automaton()
+        for k in known:
+            auto.add_word(k, k)
+        spans = set()
+        for a in range(len(ps)):
+            for b in range(a, len(ps)):
+                if text[ps[a][0] : ps[b][1]].strip() in known:
+                    spans.add((a, b))
+        got, cover = _segment(text, ps, known, spans, {"ardından"}, {";"})
+
+        def price(cuts):
+            total, a = 0.0, 0
+            covered = {k for x, y in spans for k in range(x, y)}
+            for b in [*cuts, len(ps)]:
+                if (a, b - 1) in spans:
+                    total += 0.05
+                else:
+                    total += 1.0 + sum(0.0 if k in covered else 0.2 if text[ps[k + 1][0] :].split()[0].strip(";") == "ardından" else 4.0 for k in range(a, b - 1))
+                    total += 3.0 if a and text[ps[a][0] :].split()[0].strip(";") == "ardından" else 0.0
+                a = b
+            return total
+
+        best = min(price([k + 1 for k, c in enumerate(bits) if c]) for bits in product([0, 1], repeat=len(ps) - 1))
+        assert abs(got - best) < 1e-6, (text, known, cover)
