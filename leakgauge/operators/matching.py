@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leakgauge.functions import text as tx
+from leakgauge.session import spread
 
 # Words that carry no content.
 STOP = ("bir", "ve", "ile", "için", "daha", "sonra", "kendi", "olarak", "göre", "ancak", "ayrıca", "bu", "şu", "o", "ne", "hangi", "nasıl", "neden", "ilk", "kez", "ise", "da", "de", "mı", "mi", "mu", "mü", "ki", "ya", "en")
@@ -27,7 +28,7 @@ def features(df: DataFrame, gold: str, pred: str, question: str | None = None) -
     Null texts count as empty ones.
     """
     q = F.col(question) if question else F.lit("")
-    texts = df.withColumn("_g", composed(F.coalesce(F.col(gold), F.lit("")))).withColumn("_p", composed(F.coalesce(F.col(pred), F.lit("")))).withColumn("_q", composed(F.coalesce(q, F.lit(""))))
+    texts = spread(df).withColumn("_g", composed(F.coalesce(F.col(gold), F.lit("")))).withColumn("_p", composed(F.coalesce(F.col(pred), F.lit("")))).withColumn("_q", composed(F.coalesce(q, F.lit(""))))
     for c in ("_g", "_p", "_q"):
         texts = texts.withColumn(c, tx.qa_normal(F.col(c)))
     g, p, qn = F.col("_g"), F.col("_p"), F.col("_q")

@@ -268,7 +268,9 @@ def segment(s: str, known: set[str], follow: set[str], automaton=None) -> list[s
                 spans.add((a, b))
     strong = {p[2] for p in ps if p[2]} - {","}
     for seps in ([strong] if strong else []) + [{","}]:
-        _, cover = _segment(s, ps, known, spans, follow, seps)
+        # Where only commas can separate, each one outside quotes does.
+        whole = {(x, y) for x, y in spans if not any(ps[k][2] == "," for k in range(x, y))} if seps == {","} else spans
+        _, cover = _segment(s, ps, known, whole, follow, seps)
         if len(cover) > 1:
             break
     out = []

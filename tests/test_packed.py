@@ -54,6 +54,17 @@ def test_dictionary_protects_delimiters(spark):
     assert [by[4][k] for k in sorted(by[4])] == ["ders; ardından göl", "Sınav"]
 
 
+def test_commas_outside_quotes_separate():
+    import ahocorasick
+
+    auto = ahocorasick.Automaton()
+    for k in ("80,6", "80", "6"):
+        auto.add_word(k, k)
+    auto.make_automaton()
+    assert segment('80,6,"363",213', {"80,6", "80", "6"}, set(), auto) == ["80", "6", "363", "213"]
+    assert segment('80,6;"363";213', {"80,6", "80", "6"}, set(), auto) == ["80,6", "363", "213"]
+
+
 def test_edges(spark):
     long = ";".join(f"değer {k}" for k in range(3000))
     rows = [(1, None, "t"), (2, "", "t"), (3, "  ", "t"), (4, "[]", "t"), (5, "a|b", None), (5, "a|b", None), (6, long, "t")]
