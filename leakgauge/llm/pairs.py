@@ -68,7 +68,7 @@ _REFUSES = re.compile(
     r"|kann ich (?:leider )?nicht|nicht beantworten|je ne peux pas|no puedo|nao posso|non posso|не могу|отказ"
 )
 _MARKS_ONLY = re.compile(r"^[\W_]*$")
-_PLACE = re.compile(r"^\W*(?:null|none|nil|nan|n/?a|undefined|empty|bos|yok|no (?:answer|response|output|content)|yanit yok|cevap yok|bos yanit|todo|tbd|xxx+|placeholder|lorem ipsum|response|answer|yanit|cevap|assistant|text|string)\W*$")
+_PLACE = re.compile(r"^\W*(?:null|none|nil|nan|n/?a|undefined|empty|bos|yok|no (?:answer|response|output|content)|yanit yok|cevap yok|bos yanit|todo|tbd|xxx+|placeholder|lorem ipsum)\W*$")
 _ERROR = re.compile(
     r"^\W*(?:(?:error|hata|exception|traceback|http|status|code)\b.{0,160}|(?:[45]\d\d)\W{1,4}(?:bad|gateway|service|internal|too many|unauthori|forbidden|not found|request|upstream|rate|error|timeout).{0,120}|request timed? ?out\b.{0,60}|(?:read|connection|gateway|upstream|connect)\s?(?:timed? ?out|timeout|error|reset|refused|aborted)\b.{0,80}|timeout\b.{0,60}|rate ?limit\b.{0,100}|too many requests\b.{0,80}|service unavailable\b.{0,80}|bad gateway\b.{0,60}|internal server error\b.{0,80}|(?:api|network|server)\s?error\b.{0,100}|finish_reason\s?=\s?\w+|istek zaman asimi.{0,80}|zaman asimina ugradi.{0,40}|baglanti (?:hatasi|kesildi|zaman).{0,80}|sunucu hatasi.{0,80})$",
     re.S,

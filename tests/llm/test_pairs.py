@@ -13,7 +13,7 @@ CASES = [
     (T, "Trial 81 was completed today.", "copies_question"),
     (Q, "The right option is **A) Yazılım**. This is because the task only appears when the exam is known.", "other_language"), (E, "Richtig ist A) bridge. Die übrigen Möglichkeiten beschreiben eine andere Antwort und scheiden deshalb aus.", "other_language"),
     (Q, "Правильный ответ: A) Yazılım. Это связано с тем, что метод простой.", "other_language"),
-    (Q, "A) Yazı", "truncated"), (Q, "C) Yerel yöntem kullanımı doğrudur. Bu nedenle maden değil, çizelge,", "truncated"), (Q, "Bu sorunun doğru yanıtı", "truncated"), (Q, "Cevap: A) Yazılım. Diğer şıklarda sözü ed", "truncated"), (Q, "A) Yazılım doğrudur. Örn.", "truncated"),
+    (Q, "Cevap: **", "truncated"), (E, "Answer: **", "truncated"), (Q, "Doğru cevap:", "truncated"), (Q, "A) Yazı", "truncated"), (Q, "C) Yerel yöntem kullanımı doğrudur. Bu nedenle maden değil, çizelge,", "truncated"), (Q, "Bu sorunun doğru yanıtı", "truncated"), (Q, "Cevap: A) Yazılım. Diğer şıklarda sözü ed", "truncated"), (Q, "A) Yazılım doğrudur. Örn.", "truncated"),
     (Q, "A", None), (Q, "**C**", None), (Q, "(B)", None), (Q, "78,3", None), (Q, "D) 78,3", None), (Q, 'E) "Lodö" süreç ilkesi', None), (Q, "Yazılım", None),
     (Q, "Üzgünüm, önceki yanıtım hatalıydı; düzeltiyorum. Doğru cevap A) Yazılım.", None), (Q, "Soru: Hangisi süt türlerinden biri olarak zorunlu sayılmaz?\n\nCevap: A) Yazılım", None),
     (Q, "Dogru cevap A) Yazılım. Diger siklarda sozu edilen veri ise hizli oldugu icin bu tanimin disinda kalir.", None), (E, "It should be A) bridge. In Turkish sources it is called \"denetim\".", None),
