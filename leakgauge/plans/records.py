@@ -39,4 +39,22 @@ def p3_loaded_pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_loaded_pilot": p3_loaded_pilot}
-SQL: dict[str, str] = {}
+
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
+_FIELD = _TRIM.format("case when f[{0}][1] = '\"' then replace(f[{0}][2:length(f[{0}]) - 1], '\"\"', '\"') else f[{0}] end")
+_IS_TIME = r"regexp_full_match({0}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]') and try_cast({0} as timestamp) is not null"
+_AMOUNT = r"regexp_full_match({}, '[0-9]+(\.[0-9]+)?')"
+SQL: dict[str, str] = {
+    # Rejects only: what loads is tested against the csv module.
+    "p3_found": rf"""
+with r as (select line_no, feed, coalesce(line_text, '') as x from raw_lines),
+s as (select line_no, feed, not regexp_full_match(x, '(?s)("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') as broken,
+  regexp_extract_all(',' || x, ',("(?:[^"]|"")*"|[^",]*)', 1) as f from r),
+v as (select line_no, feed, broken, len(f) as n, {", ".join(f"coalesce({_FIELD.format(k)}, '') as f{k}" for k in range(1, 6))} from s),
+j as (select line_no, case when broken then 'broken_quote' when n <> 5 then 'column_count'
+  when feed = 'pilot' and not (regexp_full_match(f1, '[0-9]+') and f2 <> '' and f3 in ('blackbox', 'choice_sub') and f4 <> '') then 'bad_value'
+  when feed <> 'pilot' and not ({_IS_TIME.format("f1")} and regexp_full_match(f2, '[0-9]+') and {_AMOUNT.format("f3")} and {_AMOUNT.format("f4")} and lower(f5) in ('true', 'false')) then 'bad_value' end as reason from v)
+select 'raw_lines' as src_table, line_no, reason from j where reason is not null
+union all select 'spend_full_2026_08_16', line_no, 'bad_value' from spend_full_2026_08_16
+  where not coalesce(regexp_full_match({_TRIM.format("calls_logged")}, '[0-9]+'), false)""",
+}
