@@ -8,8 +8,9 @@ implausible its characters are where they stand, plus a small cost for each move
 the cheapest reachable text is the result.
 
 Moves from one letter to another letter of the same plausibility (thorn for s
-with cedilla) can't be told by characters alone: they are accepted where the
-corpus writes the restored words more often than the ones found.
+with cedilla) can't be told by characters alone: for stretches with such letters
+the search runs once more with a price that also holds how often the corpus
+writes the words either way.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import heapq
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -230,7 +231,8 @@ BUDGET = 24
 Swap = tuple[str, str]
 
 
-def _best_first(s: str, start: float, swaps: bool) -> tuple[str, float, tuple[Swap, ...]]:
+def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float] = cost, settled: float = 0.4) -> tuple[str, float, tuple[Swap, ...]]:
+    """Cheapest text by ``price``, its cost, the moves to it; a state under ``settled`` isn't opened."""
     best, best_cost, best_path = s, start, ()
     heap, seen, order, opened = [(start, 0, s, 0, (), 0.0)], {hash(s)}, 0, 0
     while heap and opened < BUDGET:
@@ -238,7 +240,7 @@ def _best_first(s: str, start: float, swaps: bool) -> tuple[str, float, tuple[Sw
         opened += 1
         if c < best_cost - 1e-9:
             best, best_cost, best_path = state, c, path
-        if depth >= 5 or c > start + 4 or c < 0.4 + spent:
+        if depth >= 5 or c > start + 4 or c < settled + spent:
             continue
         nexts = [(as_utf8(state, name), (*path, (name, "utf-8")), 0.0 if name == "cp1252" else RARER) for name in AS_UTF8 if _lead(name).search(state)]
         if swaps and all(b == "utf-8" for _, b in path):
@@ -250,7 +252,7 @@ def _best_first(s: str, start: float, swaps: bool) -> tuple[str, float, tuple[Sw
             if h not in seen:
                 seen.add(h)
                 order += 1
-                heapq.heappush(heap, (cost(x) + spent + MOVE + extra, order, x, depth + 1, way, spent + MOVE + extra))
+                heapq.heappush(heap, (price(x) + spent + MOVE + extra, order, x, depth + 1, way, spent + MOVE + extra))
     return best, best_cost, best_path
 
 
@@ -334,12 +336,28 @@ def thorn_words(s: str) -> list[str]:
 
 
 def judge_thorns(s: str, weight: dict[str, float]) -> tuple[str, bool]:
-    """Turkish letters for thorns in every stretch whose words weigh for them together."""
+    """The same search over stretches with thorn words, evidence being part of the price.
+
+    ``weight`` says for each word how much more often the corpus writes it with
+    the Turkish letters (a logarithm). A state is cheaper by the weights of the
+    words it writes so, and dearer where it writes such a word in a third way.
+    """
     out, hit = [], False
     for x in stretches(s):
-        here = thorn_words(x)
-        if here and sum(weight.get(w, 0.0) for w in here) > 1.0:
-            hit, x = True, x.translate(THORNS)
+        here = [w for w in _WORDS.findall(x) if _THORN.search(w)] if _THORN.search(x) else []
+        if here:
+            at = [(m.start(), m.end(), m[0], m[0].translate(THORNS)) for m in _WORDS.finditer(x) if _THORN.search(m[0])]
+            said: set[str] = set()
+            at = [(i, j, w, t) for i, j, w, t in at if not (w in said or said.add(w))]
+
+            def price(y: str, at: list = at, n: int = len(x)) -> float:
+                if len(y) != n:
+                    return cost(y) + len(at)
+                return cost(y) - sum(weight.get(w, 0.0) if y[i:j] == t else 0.0 if y[i:j] == w else -1.0 for i, j, w, t in at)
+
+            y, _, path = _best_first(x, price(x), True, price, settled=-1e9)
+            if path and y != x:
+                hit, x = True, y
         out.append(x)
     return "".join(out), hit
 
