@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakgauge.operators.prefix import running_total
+from leakgauge.operators.prefix import running_totals
 
 
 def last_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -50,6 +50,6 @@ def recurring(calls: DataFrame, item: list[str], order: str, failed: Column) ->
 
 def checkpoints(calls: DataFrame, order: str, value: Column, every: int) -> DataFrame:
     """``calls_logged, accumulated`` at every so many lines, before that line's own value."""
-    lines = running_total(calls, order, F.lit(1).cast("bigint"), "calls_logged")
-    both = running_total(lines.withColumn("_val", F.coalesce(value, F.lit(0)).cast("bigint")), order, F.col("_val"), "_upto")
+    own = calls.withColumn("_val", F.coalesce(value, F.lit(0)).cast("bigint"))
+    both = running_totals(own, order, {"calls_logged": F.lit(1).cast("bigint"), "_upto": F.col("_val")})
     return both.where(F.col("calls_logged") % every == 0).select(F.col("calls_logged").cast("bigint"), (F.col("_upto") - F.col("_val")).cast("bigint").alias("accumulated"))

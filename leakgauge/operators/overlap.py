@@ -30,7 +30,8 @@ def corpus_hits(corpus: DataFrame, text: str, grams: DataFrame, n: int = NGRAM,
     wanted = grams.select("gram").distinct()
     side = F.broadcast(wanted) if wanted.limit(broadcast_keys + 1).count() <= broadcast_keys else wanted
     rows = spread(corpus.where(F.length(text) > 0).select(*keep, text))
-    tokens = rows.select(*keep, tx.word_tokens(F.col(text)).alias("_t")).where(F.size("_t") >= n)
+    # No filter on the number of words: pushed down, it would tokenise every text twice.
+    tokens = rows.select(*keep, tx.word_tokens(F.col(text)).alias("_t"))
     keys = tokens.select(*keep, F.explode(F.array_distinct(tx.gram_keys(F.col("_t"), n))).alias("gram"))
     return keys.join(side, "gram", "left_semi").distinct()
 
