@@ -276,9 +276,7 @@ def has_answer(answer: str, opts: tuple[tuple[str, str], ...], question: str) ->
 
 def is_refusal(answer: str, prompt: str) -> bool:
     question, opts = parts(prompt)
-    if not _REFUSES.search(fold(answer).replace("’", "'")):
-        return False
-    return not has_answer(answer, opts, question)
+    return not has_answer(answer, opts, question) and bool(_REFUSES.search(fold(answer).replace("’", "'")))
 
 
 def is_empty(answer: str | None, prompt: str | None = None) -> bool:
@@ -355,11 +353,27 @@ def is_truncated(answer: str, prompt: str, end_share: float | None) -> bool:
     return len(tokens(flat)) > 2 or end_share is None or end_share < 0.5
 
 
+_LETTER = re.compile(r"\(?([A-Ja-j])\s*[).:]?\)?\s*")
+
+
+def is_choice(answer: str, prompt: str) -> bool:
+    """Whether an answer is a letter, an option or both and nothing else."""
+    _, opts = parts(prompt)
+    if not opts or len(answer) > 400:
+        return False
+    s = answer.strip("*_` \n")
+    texts = [b for _, b in opts]
+    m = _LETTER.match(s)
+    return s in texts or bool(m) and (s[m.end() :] in texts or m.end() == len(s))
+
+
 def defect(answer: str | None, prompt: str | None, end_share: float | None) -> str | None:
     """Kind of the defect, or None. A null prompt takes no part in the comparison."""
     if is_empty(answer, prompt):
         return EMPTY
     p, a = prompt or "", seen(answer)
+    if p and is_choice(a, p):
+        return None
     if is_refusal(a, p):
         return REFUSAL
     if p and is_copy(a, p):
