@@ -231,8 +231,8 @@ BUDGET = 24
 Swap = tuple[str, str]
 
 
-def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float] = cost, settled: float = 0.4) -> tuple[str, float, tuple[Swap, ...]]:
-    """Cheapest text by ``price``, its cost, the moves to it; a state under ``settled`` isn't opened."""
+def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float] = cost, settled: float = 0.4, slack: float = 4.0) -> tuple[str, float, tuple[Swap, ...]]:
+    """Cheapest text by ``price``, its cost, the moves to it; a state under ``settled`` or ``slack`` above the start isn't opened."""
     best, best_cost, best_path = s, start, ()
     heap, seen, order, opened = [(start, 0, s, 0, (), 0.0)], {hash(s)}, 0, 0
     while heap and opened < BUDGET:
@@ -240,7 +240,7 @@ def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float]
         opened += 1
         if c < best_cost - 1e-9:
             best, best_cost, best_path = state, c, path
-        if depth >= 5 or c > start + 4 or c < settled + spent:
+        if depth >= 5 or c > start + slack or c < settled + spent:
             continue
         nexts = [(as_utf8(state, name), (*path, (name, "utf-8")), 0.0 if name == "cp1252" else RARER) for name in AS_UTF8 if _lead(name).search(state)]
         if swaps and all(b == "utf-8" for _, b in path):
@@ -355,7 +355,9 @@ def judge_thorns(s: str, weight: dict[str, float]) -> tuple[str, bool]:
                     return cost(y) + len(at)
                 return cost(y) - sum(weight.get(w, 0.0) if y[i:j] == t else 0.0 if y[i:j] == w else -1.0 for i, j, w, t in at)
 
-            y, _, path = _best_first(x, price(x), True, price, settled=-1e9)
+            # No state can gain more than this; what a swap costs is more in most stretches.
+            most = cost(x) + sum(max(0.0, weight.get(w, 0.0)) for _, _, w, _ in at)
+            y, _, path = _best_first(x, price(x), True, price, settled=-1e9, slack=0.0) if most > MOVE + SWAP else (x, 0.0, ())
             if path and y != x:
                 hit, x = True, y
         out.append(x)
