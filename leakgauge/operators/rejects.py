@@ -148,14 +148,20 @@ def judge(records: pa.Array, layout: Layout) -> tuple[list[str | None], list[pa.
     return reason.tolist(), fields
 
 
+def _free(name: str, key: list[str]) -> str:
+    """The name of an added column; a key column of that name keeps it."""
+    return name if name not in key else f"reject_{name}"
+
+
 def judge_records(df: DataFrame, text: str, layout: Layout, key: list[str]) -> DataFrame:
     """``key`` columns, ``reason`` and the layout's fields of every record of ``df``.
 
     ``reason`` is null and the fields are filled (untrimmed, as read) where the
     record loads; otherwise the fields are null. Null records count as having the
     wrong number of columns, empty ones too. Repeated records are judged alike,
-    length is unbounded, an empty table gives an empty table. Nothing is shuffled:
-    the operator is one narrow pass.
+    length is unbounded, an empty table gives an empty table. A key column named as
+    an added one keeps its name; the added one is then ``reject_reason`` or
+    ``field_...``. Nothing is shuffled: the operator is one narrow pass.
     """
     clash = {c: f"_f_{c}" for c in layout.names}
     schema = df.select(*[F.col(f"`{c}`") for c in key]).schema
@@ -171,7 +177,7 @@ def judge_records(df: DataFrame, text: str, layout: Layout, key: list[str]) -> D
     out = ", ".join([*(f"_k_{k} {f.dataType.simpleString()}" for k, f in enumerate(schema)), "reason string", *(f"{c} string" for c in clash.values())])
     took = df.select(*[F.col(f"`{c}`").alias(f"_k_{k}") for k, c in enumerate(key)], F.col(f"`{text}`").alias("_text")).mapInArrow(run, out)
     names = set(key)
-    return took.select(*[F.col(f"_k_{k}").alias(c) for k, c in enumerate(key)], "reason", *[F.col(v).alias(c if c not in names else f"field_{c}") for c, v in clash.items()])
+    return took.select(*[F.col(f"_k_{k}").alias(c) for k, c in enumerate(key)], F.col("reason").alias(_free("reason", key)), *[F.col(v).alias(c if c not in names else f"field_{c}") for c, v in clash.items()])
 
 
 def judge_cells(df: DataFrame, field: str, check: Check, key: list[str]) -> DataFrame:
@@ -188,4 +194,4 @@ def judge_cells(df: DataFrame, field: str, check: Check, key: list[str]) -> Data
 
     out = ", ".join([*(f"_k_{k} {f.dataType.simpleString()}" for k, f in enumerate(schema)), "reason string"])
     took = df.select(*[F.col(f"`{c}`").alias(f"_k_{k}") for k, c in enumerate(key)], F.col(f"`{field}`").alias("_text")).mapInArrow(run, out)
-    return took.select(*[F.col(f"_k_{k}").alias(c) for k, c in enumerate(key)], "reason")
+    return took.select(*[F.col(f"_k_{k}").alias(c) for k, c in enumerate(key)], F.col("reason").alias(_free("reason", key)))

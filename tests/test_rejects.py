@@ -55,3 +55,5 @@ def test_operator(spark):
     assert r.judge_records(df.limit(0), "line_text", r.PILOT, ["line_no"]).count() == 0
     cells = spark.createDataFrame([(1, "5"), (2, None), (3, " 7 "), (4, "1e3"), (5, "")], "k int, v string")
     assert {x.k for x in r.judge_cells(cells, "v", r.is_digits, ["k"]).where("reason is not null").collect()} == {2, 4, 5}
+    clash = r.judge_cells(cells.withColumnRenamed("k", "reason"), "v", r.is_digits, ["reason"])
+    assert clash.columns == ["reason", "reject_reason"] and clash.where("reject_reason is not null").count() == 3
