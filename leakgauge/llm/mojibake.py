@@ -24,7 +24,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -388,13 +388,21 @@ def repaired(df: DataFrame, text: str, key: list[str]) -> DataFrame:
     asked = done.select(F.explode("thorns").alias("found")).distinct()
     asked = asked.withColumn("turkish", F.translate("found", "þýðÞÝÐ", "şığŞİĞ"))
     wanted = asked.select(F.explode(F.array("found", "turkish")).alias("w")).distinct()
-    said = rows.where(F.col("text").rlike("[þýðÞÝÐşığŞİĞ]")).select(F.explode(F.expr(r"regexp_extract_all(text, r'\p{L}*[þýðÞÝÐşığŞİĞ]\p{L}*', 0)")).alias("w"))
+    said = rows.where(F.col("text").rlike("[þýðÞÝÐşığŞİĞ]")).select(F.md5("text").alias("h"), F.expr(r"regexp_extract_all(text, r'\p{L}*[þýðÞÝÐşığŞİĞ]\p{L}*', 0)").alias("ws"))
+    # Copies of a text are folded before the shuffle, so a hot one is a row per task.
+    said = said.groupBy("h").agg(F.first("ws").alias("ws"), F.count("*").alias("copies")).select(F.explode("ws").alias("w"), "copies")
     # Counted before the join, so a word is shuffled once per task and not once per place.
-    counts = said.groupBy("w").agg(F.count("*").alias("n")).join(wanted, "w", "left_semi")
+    counts = said.groupBy("w").agg(F.count("*").alias("n"), F.sum("copies").alias("m")).join(wanted, "w", "left_semi")
+
+    def odds(turkish: str, found: str) -> Column:
+        return F.log((F.coalesce(turkish, F.lit(0)) + 1.0) / (F.coalesce(found, F.lit(0)) + 1.0))
+
+    # Over distinct texts, so copies of a garbled text can't outvote the correct spelling;
+    # over all rows where that says more, as copies of a correct text are evidence too.
     weighed = (
-        asked.join(counts.select(F.col("w").alias("found"), F.col("n").alias("nf")), "found", "left")
-        .join(counts.select(F.col("w").alias("turkish"), F.col("n").alias("nt")), "turkish", "left")
-        .select("found", F.log((F.coalesce("nt", F.lit(0)) + 1.0) / (F.coalesce("nf", F.lit(0)) + 1.0)).alias("weight"))
+        asked.join(counts.select(F.col("w").alias("found"), F.col("n").alias("nf"), F.col("m").alias("mf")), "found", "left")
+        .join(counts.select(F.col("w").alias("turkish"), F.col("n").alias("nt"), F.col("m").alias("mt")), "turkish", "left")
+        .select("found", F.greatest(odds("nt", "nf"), odds("mt", "mf")).alias("weight"))
     )
     with_key = done.withColumn("h", F.md5("text"))
     proof = (

@@ -40,3 +40,10 @@ def test_operator(spark):
     by = {r.doc_id: r.restored for r in got}
     assert by[20] == "sınav kısmi şiir" and by[21] == TR and by[25].endswith("yöntem")
     assert mj.repaired(df.limit(0), "text", ["doc_id"]).count() == 0
+
+
+def test_hot_copies_do_not_outvote(spark):
+    rows = [(k, f"sınav kısmi şiir {k}") for k in range(10)] + [(100 + k, "sýnav kýsmi þiir") for k in range(2_000)]
+    got = mj.repaired(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", ["doc_id"]).where("affected").collect()
+    assert sorted(r.doc_id for r in got) == list(range(100, 2_100))
+    assert {r.restored for r in got} == {"sınav kısmi şiir"}
