@@ -59,6 +59,9 @@ NAMES = {
 }
 _ASKED = {c: re.compile(rf"(?:\b(?:into|to|in)\s+(?:{n})\b|\b(?:{n})(?:ye|ya|e|a)?\s+(?:cevir|yaz|yanit|cevap|acikla)|cumleyi\s+(?:{n})\s+cevir)") for c, n in NAMES.items()}
 
+# Verbs of asking, folded.
+_ASKS = re.compile(r"\b(?:translat(?:e|ion)|render|answer|reply|respond|response|write|explain|summari[sz]e|summary|state|give|say|describe|tell|put|name|define|express|provide|list|use|speak|mean|called|please|cevir\w*|yaz\w*|yanit\w*|cevap\w*|acikla\w*)\b")
+
 # What declines, folded.
 _REFUSES = re.compile(
     r"yanit(?:layama|lama(?:m|yi)| verem| vermey| verme[kz])|cevap(?:layama| verem| vermey| belirtm)|yardimci olam|reddediyor|reddetmek|belirtmeyece|belirtmiyor|benden istemey"
@@ -237,15 +240,33 @@ def votes(text: str) -> dict[str, float]:
     return out
 
 
+def asked(f: str) -> str | None:
+    """Language that a folded prompt asks for, wherever it does; the first request holds.
+
+    In a long prompt a language may only be mentioned ("was printed in German"): a
+    request opens its sentence or has a verb of asking in it.
+    """
+    first = (len(f), None)
+    for code, rx in _ASKED.items():
+        for m in rx.finditer(f):
+            if m.start() >= first[0]:
+                break
+            lo = max(f.rfind(x, 0, m.start()) for x in ".!?:\n") + 1
+            hi = min((k for x in ".!?:\n" if (k := f.find(x, m.end())) >= 0), default=len(f))
+            if not f[lo : m.start()].strip(" \t*_\"'(") or _ASKS.search(f, lo, hi):
+                first = (m.start(), code)
+                break
+    return first[1]
+
+
 @short_cache(50_000, 2_000)
 def expected(prompt: str) -> str | None:
     """Language that the prompt asks for, else the one it is in."""
-    f = fold(prompt[:400])
-    for code, rx in _ASKED.items():
-        if rx.search(f):
-            return code
+    if (code := asked(fold(prompt))) is not None:
+        return code
     question, _ = parts(prompt)
-    v = votes(prompt[: max(len(question) + 20, 200)])
+    # The question's language counts; the rest is asked where the question says nothing.
+    v = votes(prompt.lstrip()[: max(len(question) + 20, 200)]) or votes(prompt)
     return max(v, key=v.get) if v else None
 
 

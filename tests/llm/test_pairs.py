@@ -26,6 +26,18 @@ def test_defects(prompt, answer, want):
     assert p.defect(answer, prompt, None) == want
 
 
+@pytest.mark.parametrize("filler", [5, 40, 400])
+def test_language_is_asked_for_anywhere(filler):
+    text = "Aşağıdaki metin bir denemenin kısa özetidir ve yalnızca bilgi içindir. " * filler
+    english, turkish = "The trial was completed today and the answer is given here.", "Deneme bugün tamamlandı ve bunun için yeni bir yanıt verilmiştir."
+    for request in ("Translate into English: Deneme 81 bugün tamamlandı.", "Lütfen İngilizce yanıt ver."):
+        assert p.expected(text + request) == "en"
+        assert p.defect(english, text + request, None) is None
+        assert p.defect(turkish, text + request, None) == "other_language"
+    mention = "The old report was printed in German and the new one is not. " * filler + "What does the report say?"
+    assert p.expected(mention) == "en" and p.defect(english, mention, None) is None
+
+
 def test_compression_tells_copies():
     q = "aşağıdakilerden hangisi kısmi bir öğrenci ile bir değişken arasındaki ortak özelliktir"
     assert p.left_over(q, q) < 0.3 < p.left_over("bambaşka sözcüklerle yazılmış uzunca bir yanıt metni", q)
