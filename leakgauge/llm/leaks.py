@@ -171,7 +171,8 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """``(words in order, edits between them)`` of the best local alignment.
 
     A chain of equal words, rising on both sides, in which every word changed,
-    added or left out costs as much as one kept word earns.
+    added or left out costs as much as one kept word earns. Where the best is too
+    thin for a passage but holds or hides one, that one is given.
     """
     at: dict[int, list[int]] = {}
     for j, w in enumerate(item.tolist()):
@@ -194,9 +195,39 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
         best.append((score, kept, edits))
         if (score, kept) > top[:2]:
             top = (score, kept, edits)
+    # No passage has a lower score than the least share of the fewest words leaves.
+    if not is_passage(*top[1:]) and top[0] >= (2 * KEPT - 1) * PASSAGE:
+        return hidden(points) or top[1:]
     return top[1], top[2]
 
 
+def hidden(points: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """Words and edits of the first passage among the best chains from each start to each end.
+
+    Neither end of a chain may lose: whatever is cut off there has to earn its edits.
+    """
+    for start, (i0, j0) in enumerate(points):
+        # Place in the text and in the item, score, kept, edits, highest score on the way.
+        live = [(i0, j0, 1, 1, 0, 1)]
+        lo = 0
+        for i, j in points[start + 1 :]:
+            while lo < len(live) and live[lo][0] < i - 9:
+                lo += 1
+            if lo == len(live):
+                break
+            got = None
+            for a, b, score, kept, edits, high in live[lo:]:
+                if a < i and b < j:
+                    e = max(i - a, j - b) - 1
+                    if e <= 8 and e <= score and (got is None or (score - e + 1, kept + 1) > got[:2]):
+                        got = (score - e + 1, kept + 1, edits + e, max(high, score - e + 1))
+            if got:
+                live.append((i, j, *got))
+                if got[0] == got[3] and is_passage(got[1], got[2]):
+                    return got[1], got[2]
+    return None
+
+
 def is_passage(kept: int, edits: int, passage: int = PASSAGE, share: float = KEPT) -> bool:
     return kept + edits >= passage and kept >= share * (kept + edits)
 

@@ -32,6 +32,21 @@ def test_edits_and_decoys():
     assert not hit(" ".join(w + " dolgu söz" for w in p[::2]))[0]
 
 
+def test_thin_chain_hides_no_passage(spark):
+    foreign = [f"yabancı{k}" for k in range(16)]
+    b, c = WORDS[:12], WORDS[12:]
+    long = [f"kök{k}" for k in range(9)] + b + [f"dal{k}" for k in range(9)]
+    cases = [(b + foreign[:8] + c, b + c), (c + foreign[:8] + b, c + b), (long[:9] + foreign[:8] + b + foreign[8:] + long[21:], long)]
+    for doc, item in cases:
+        assert hit(" ".join(doc), [" ".join(item)])[0]
+    short = (b[:9] + foreign[:8] + c, b[:9] + c), (b[:10] + foreign[:2] + c[:1], b[:10] + c)
+    for doc, item in short:
+        assert not hit(" ".join(doc), [" ".join(item)])[0]
+    docs = spark.createDataFrame([(k, " ".join(d)) for k, (d, _) in enumerate(cases)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(k, " ".join(t)) for k, (_, t) in enumerate(cases)], "item_id bigint, t string")
+    assert {(k, k) for k in range(3)} <= {tuple(r) for r in lk.found(docs, "text", "doc_id", items, "t", "item_id").collect()}
+
+
 def test_seeds_survive_one_edit():
     h = np.arange(10, 22, dtype=np.int64) * 7919
     whole = set(lk.seeds(h)[0].tolist())
