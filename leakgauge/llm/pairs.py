@@ -76,6 +76,12 @@ _ERROR = re.compile(
     r"^\W*(?:(?:error|hata|exception|traceback|http|status|code)\b.{0,160}|(?:[45]\d\d)\W{1,4}(?:bad|gateway|service|internal|too many|unauthori|forbidden|not found|request|upstream|rate|error|timeout).{0,120}|request timed? ?out\b.{0,60}|(?:read|connection|gateway|upstream|connect)\s?(?:timed? ?out|timeout|error|reset|refused|aborted)\b.{0,80}|timeout\b.{0,60}|rate ?limit\b.{0,100}|too many requests\b.{0,80}|service unavailable\b.{0,80}|bad gateway\b.{0,60}|internal server error\b.{0,80}|(?:api|network|server)\s?error\b.{0,100}|finish_reason\s?=\s?\w+|istek zaman asimi.{0,80}|zaman asimina ugradi.{0,40}|baglanti (?:hatasi|kesildi|zaman).{0,80}|sunucu hatasi.{0,80})$",
     re.S,
 )
+#: How a transport error begins, whatever follows it; folded.
+_ERROR_HEAD = re.compile(
+    r"^\W*(?:traceback \(most recent call last\)|(?:[a-z_]+[.:])*[a-z_]*(?:error|exception|hata|hatasi)\W{0,3}(?:code|kodu)?\W{0,3}(?:[45]\d\d\b|[:{\[])|\{?\s*\"?(?:error|hata|status|code)\"?\s*:"
+    r"|(?:http(?:/\d(?:\.\d)?)?|status|code|status code)\W{1,3}[45]\d\d\b|[45]\d\d\W{1,4}(?:bad gateway|gateway time|service unavail|internal server|too many requests|unauthori[sz]ed|forbidden|not found|request time|rate limit)"
+    r"|request timed? ?out\b|(?:read|connection|gateway|upstream|connect)\s?(?:timed? ?out|timeout|reset by|refused|aborted)\b|rate ?limit (?:exceeded|reached)|too many requests\b|service unavailable\b|bad gateway\b|internal server error\b|istek zaman asimi|zaman asimina ugradi|baglanti (?:hatasi|kesildi)|sunucu hatasi)"
+)
 _LABELS = re.compile(r"\b(?:soru|question|secenekler|options|cevap|answer|yanit|prompt|frage|pregunta|siklar)\b")
 _OPEN_END = re.compile(r"(?:[,;:(\[{–—\-/&+=]|\b(?:e\.g|i\.e|orn|or|vb|bkz|ornegin|for example|such as|yani|and|or|the|a|an|of|to|with|because|ve|veya|ile|icin|cunku|ancak|fakat|ama))\s*\.?$")
 _LIST_END = re.compile(r"(?:^|\n)\s*(?:\d{1,2}[.)]|[-*•])\s*$")
@@ -313,7 +319,20 @@ def is_empty(answer: str | None, prompt: str | None = None) -> bool:
         return True
     if len(f) < 300 and (_ERROR.match(f) or re.match(r'^\W*\{?\s*"?(?:error|hata|status|code)"?\s*:', f)):
         return True
-    return False
+    return is_error(s, f, prompt or "")
+
+
+def is_error(s: str, f: str, prompt: str) -> bool:
+    """Whether an answer (and its folded form) is a transport error of any length.
+
+    It begins as one, and nothing behind answers the prompt: no option, and no
+    word of the question beside common ones.
+    """
+    if not _ERROR_HEAD.match(f):
+        return False
+    question, opts = parts(prompt)
+    asked_for = {w for w in tokens(question) if len(w) > 3 and w not in _LEX}
+    return not has_answer(s, opts, question) and asked_for.isdisjoint(re.findall(r"[^\W_]+", f))
 
 
 _TAIL = re.compile(r"(?:^|[\s*(\[])\(?([A-Ea-e])[).:]\s*([^\n]*)$")

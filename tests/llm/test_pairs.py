@@ -38,6 +38,21 @@ def test_language_is_asked_for_anywhere(filler):
     assert p.expected(mention) == "en" and p.defect(english, mention, None) is None
 
 
+TRACE = 'Traceback (most recent call last):\n' + '  File "/srv/app/client.py", line 88, in send\n    raise ConnectionError(reason)\n' * 12 + "ConnectionError: upstream closed"
+
+
+@pytest.mark.parametrize("answer", [TRACE, "HTTP 502: " + "upstream connect failure " * 30, '{"error": {"code": 500, "trace": "' + "frame;" * 100 + '"}}', "Internal server error. " + "request id 7f3a " * 20])
+def test_long_errors_are_empty(answer):
+    assert len(answer) > 300
+    assert p.defect(answer, Q, None) == p.defect(answer, E, None) == p.defect(answer, None, None) == "empty"
+    assert p.defect(answer + "\n\nA) Yazılım", Q, None) != "empty"
+
+
+def test_long_prose_about_errors_is_an_answer():
+    text = "Error: in a measurement this is the difference between the reading and the true value. " * 5
+    assert p.defect(text, "What does error of measurement mean? Explain in a sentence or two.", None) is None
+
+
 def test_compression_tells_copies():
     q = "aşağıdakilerden hangisi kısmi bir öğrenci ile bir değişken arasındaki ortak özelliktir"
     assert p.left_over(q, q) < 0.3 < p.left_over("bambaşka sözcüklerle yazılmış uzunca bir yanıt metni", q)
