@@ -1,10 +1,11 @@
 """One consistent form for text that looks the same but differs in its characters.
 
-A text's odd tokens (words with a character outside the plain alphabets) are
-looked up in tries of the corpus's own vocabulary. The traversal is a weighted
-edit automaton: a look-alike letter matches the letters it resembles at no cost,
-an ignorable character (zero-width, soft hyphen, a dot above a dotted i) is
-skipped at no cost, a plain letter matches only itself. Tokens that no trie word
+Ignorable characters (zero-width, soft hyphen), widths, blanks and hyphens are
+settled by table first. A text's odd tokens (words with a character outside the
+plain alphabets) are then looked up in tries of the corpus's own vocabulary. The
+traversal is a weighted edit automaton: a look-alike letter matches the letters
+it resembles at no cost, a dot above a dotted i is skipped at no cost, a plain
+letter matches only itself; every other edit is cut off. Tokens that no trie word
 matches are normalised by table.
 
 Vocabulary and odd tokens meet in shards by the hash of their skeleton, so no
