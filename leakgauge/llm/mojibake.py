@@ -20,13 +20,12 @@ import heapq
 import html
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leakgauge.functions.cache import short_cache
 from leakgauge.session import cut, spread
@@ -225,23 +224,34 @@ MOVE, RARER, SWAP = 0.1, 0.25, 1.5
 
 
 GAIN = 2.2
-#: States that one search opens at most; words need two to four.
-BUDGET = 24
+#: States that one search opens at most. Garbled words need two to four and none of the test
+#: tables' more than 75; random characters could go on without end. What stops here is reported.
+BUDGET = 150
+#: Searches stopped by ``BUDGET`` since the worker began.
+STOPPED = [0]
 #: A move: the encoding taken back to bytes, and the one they are decoded with.
 Swap = tuple[str, str]
 
 
-def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float] = cost, settled: float = 0.4, slack: float = 4.0) -> tuple[str, float, tuple[Swap, ...]]:
-    """Cheapest text by ``price``, its cost, the moves to it; a state under ``settled`` or ``slack`` above the start isn't opened."""
+def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float] = cost, settled: float = 0.4, slack: float = 4.0, least: float = 0.0) -> tuple[str, float, tuple[Swap, ...]]:
+    """Cheapest text by ``price``, its cost, the moves to it; a state under ``settled`` or ``slack`` above the start isn't opened.
+
+    ``least`` is the lowest price any text can have. The search ends when no open
+    state could still lead to a cheaper text, however deep it has to go for that;
+    one that has opened ``BUDGET`` states gives the best so far and is counted.
+    """
     best, best_cost, best_path = s, start, ()
-    heap, seen, order, opened = [(start, 0, s, 0, (), 0.0)], {hash(s)}, 0, 0
-    while heap and opened < BUDGET:
-        c, _, state, depth, path, spent = heapq.heappop(heap)
-        opened += 1
+    heap, seen, order, opened = [(start, 0, s, (), 0.0)], {hash(s)}, 0, 0
+    while heap:
+        c, _, state, path, spent = heapq.heappop(heap)
         if c < best_cost - 1e-9:
             best, best_cost, best_path = state, c, path
-        if depth >= 5 or c > start + slack or c < settled + spent:
+        if least + spent + MOVE >= best_cost or c > start + slack or c < settled + spent:
             continue
+        if opened == BUDGET:
+            STOPPED[0] += 1
+            break
+        opened += 1
         nexts = [(as_utf8(state, name), (*path, (name, "utf-8")), 0.0 if name == "cp1252" else RARER) for name in AS_UTF8 if _lead(name).search(state)]
         if swaps and all(b == "utf-8" for _, b in path):
             nexts += [(state.translate(_swap_table(a, b)), (*path, (a, b)), SWAP) for a, b in SWAPS]
@@ -252,7 +262,7 @@ def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float]
             if h not in seen:
                 seen.add(h)
                 order += 1
-                heapq.heappush(heap, (price(x) + spent + MOVE + extra, order, x, depth + 1, way, spent + MOVE + extra))
+                heapq.heappush(heap, (price(x) + spent + MOVE + extra, order, x, way, spent + MOVE + extra))
     return best, best_cost, best_path
 
 
@@ -357,39 +367,61 @@ def judge_thorns(s: str, weight: dict[str, float]) -> tuple[str, bool]:
 
             # No state can gain more than this; what a swap costs is more in most stretches.
             most = cost(x) + sum(max(0.0, weight.get(w, 0.0)) for _, _, w, _ in at)
-            y, _, path = _best_first(x, price(x), True, price, settled=-1e9, slack=0.0) if most > MOVE + SWAP else (x, 0.0, ())
+            y, _, path = _best_first(x, price(x), True, price, settled=-1e9, slack=0.0, least=cost(x) - most) if most > MOVE + SWAP else (x, 0.0, ())
             if path and y != x:
                 hit, x = True, y
         out.append(x)
     return "".join(out), hit
 
 
-_RESULT = T.StructType([T.StructField("fixed", T.StringType()), T.StructField("hit", T.BooleanType()), T.StructField("thorns", T.ArrayType(T.StringType()))])
-
-
-def _search_batch(texts: pd.Series) -> pd.DataFrame:
-    got = [search(t) for t in texts]
-    return pd.DataFrame({"fixed": [a for a, _ in got], "hit": [b for _, b in got], "thorns": [thorn_words(a) for a, _ in got]})
+#: Words with letters that thorn letters are confused with, or thorn letters themselves.
+_WEIGHED = re.compile(r"(?<![^\W\d_])[^\W\d_þýðÞÝÐşığŞİĞ]*+[þýðÞÝÐşığŞİĞ][^\W\d_]*+")
 
 
 def repaired(df: DataFrame, text: str, key: list[str]) -> DataFrame:
-    """``key`` columns, ``restored`` and ``affected`` of the rows with a suspicious character.
+    """``key`` columns, ``restored``, ``affected`` and ``stopped`` of the rows with something to judge.
 
     ``affected`` is true where a stretch was wrongly decoded, restorable or not;
-    ``restored`` is the text as far as nothing was lost. Rows of ordinary
-    characters, null and empty texts give no row: they aren't affected. Repeated
-    rows are judged alike, length is unbounded, an empty table gives an empty one.
+    ``restored`` is the text as far as nothing was lost; ``stopped`` tells that a
+    search in the text hit ``BUDGET``. Texts in which the search neither changes nor
+    misses anything and no thorn letters stand give no row, nor do null and empty
+    texts: they aren't affected. Repeated rows are judged alike, length is
+    unbounded, an empty table gives an empty one.
     """
-    rows = df.select(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)]).alias("keep"), F.col(f"`{text}`").alias("text"))
-    odd = spread(rows.where(F.col("text").rlike(SUSPECT)))
-    done = cut(odd.withColumn("r", F.pandas_udf(_search_batch, _RESULT)("text")).select("keep", "text", "r.*"))
+    keep = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)]).alias("keep")
+    rows = spread(df.select(keep, F.col(f"`{text}`").alias("text")).where(F.length("text") > 0))
+    kind = rows.schema["keep"].dataType.simpleString()
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, t in zip(b["keep"].to_dict("records") if isinstance(b["keep"], pd.DataFrame) else b["keep"], b["text"]):
+                if _SUSPECT.search(t):
+                    before = STOPPED[0]
+                    fixed, hit = search(t)
+                    thorns, stopped = thorn_words(fixed), STOPPED[0] > before
+                    if hit or thorns or stopped:
+                        out.append((k, fixed, hit, stopped, thorns))
+            if out:
+                yield pd.DataFrame(out, columns=["keep", "fixed", "hit", "stopped", "thorns"])
+
+    done = cut(rows.mapInPandas(look, f"keep {kind}, fixed string, hit boolean, stopped boolean, thorns array<string>"))
+    own = [F.col("keep").getField(f"k{i}").alias(c) for i, c in enumerate(key)]
+    doubtful = done.where(F.size("thorns") > 0)
+    if doubtful.isEmpty():
+        return done.select(*own, F.col("fixed").alias("restored"), F.col("hit").alias("affected"), "stopped")
 
     # Evidence for thorn letters: how often the corpus writes a word either way.
-    asked = done.select(F.explode("thorns").alias("found")).distinct()
+    asked = doubtful.select(F.explode("thorns").alias("found")).distinct()
     asked = asked.withColumn("turkish", F.translate("found", "þýðÞÝÐ", "şığŞİĞ"))
     wanted = asked.select(F.explode(F.array("found", "turkish")).alias("w")).distinct()
-    said = rows.where(F.col("text").rlike("[þýðÞÝÐşığŞİĞ]")).select(F.md5("text").alias("h"), F.expr(r"regexp_extract_all(text, r'\p{L}*[þýðÞÝÐşığŞİĞ]\p{L}*', 0)").alias("ws"))
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"h": b["h"], "ws": [_WEIGHED.findall(t) for t in b["text"]]})
+
     # Copies of a text are folded before the shuffle, so a hot one is a row per task.
+    said = rows.select(F.xxhash64("text", F.length("text")).alias("h"), "text").mapInPandas(weigh, "h bigint, ws array<string>")
     said = said.groupBy("h").agg(F.first("ws").alias("ws"), F.count("*").alias("copies")).select(F.explode("ws").alias("w"), "copies")
     # Counted before the join, so a word is shuffled once per task and not once per place.
     counts = said.groupBy("w").agg(F.count("*").alias("n"), F.sum("copies").alias("m")).join(wanted, "w", "left_semi")
@@ -404,24 +436,24 @@ def repaired(df: DataFrame, text: str, key: list[str]) -> DataFrame:
         .join(counts.select(F.col("w").alias("turkish"), F.col("n").alias("nt"), F.col("m").alias("mt")), "turkish", "left")
         .select("found", F.greatest(odds("nt", "nf"), odds("mt", "mf")).alias("weight"))
     )
-    with_key = done.withColumn("h", F.md5("text"))
+    with_key = doubtful.withColumn("h", F.md5("fixed"))
     proof = (
-        with_key.where(F.size("thorns") > 0)
-        .select("h", F.explode("thorns").alias("found"))
+        with_key.select("h", F.explode("thorns").alias("found"))
         .distinct()
         .join(weighed, "found")
         .groupBy("h")
         .agg(F.map_from_entries(F.collect_list(F.struct("found", "weight"))).alias("weights"))
     )
 
-    @F.pandas_udf("fixed string, thorn boolean")
+    @F.pandas_udf("fixed string, thorn boolean, stopped boolean")
     def settle(fixed: pd.Series, weights: pd.Series) -> pd.DataFrame:
-        got = [judge_thorns(s, dict(w)) if w else (s, False) for s, w in zip(fixed, weights)]
-        return pd.DataFrame({"fixed": [a for a, _ in got], "thorn": [b for _, b in got]})
-
-    joined = with_key.join(proof, "h", "left").withColumn("s", settle("fixed", "weights"))
-    return joined.select(
-        *[F.col("keep").getField(f"k{i}").alias(c) for i, c in enumerate(key)],
-        F.col("s.fixed").alias("restored"),
-        (F.col("hit") | F.col("s.thorn")).alias("affected"),
-    )
+        got = []
+        for s, w in zip(fixed, weights):
+            before = STOPPED[0]
+            got.append((*(judge_thorns(s, dict(w)) if w else (s, False)), STOPPED[0] > before))
+        return pd.DataFrame(got, columns=["fixed", "thorn", "stopped"])
+
+    settled = with_key.join(proof, "h", "left").withColumn("s", settle("fixed", "weights"))
+    judged = settled.select("keep", F.col("s.fixed").alias("fixed"), (F.col("hit") | F.col("s.thorn")).alias("hit"), (F.col("stopped") | F.col("s.stopped")).alias("stopped"))
+    every = done.where(F.size("thorns") == 0).select("keep", "fixed", "hit", "stopped").unionByName(judged)
+    return every.select(*own, F.col("fixed").alias("restored"), F.col("hit").alias("affected"), "stopped")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from leakgauge.llm import mojibake as mj
 
@@ -47,3 +49,23 @@ def test_hot_copies_do_not_outvote(spark):
     got = mj.repaired(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", ["doc_id"]).where("affected").collect()
     assert sorted(r.doc_id for r in got) == list(range(100, 2_100))
     assert {r.restored for r in got} == {"sınav kısmi şiir"}
+
+
+@pytest.mark.parametrize("times", [3, 5, 7])
+def test_depth_is_unbounded(times):
+    text = "Şimdi ışık"
+    for _ in range(times):
+        text = text.encode().decode("latin-1")
+    assert mj.search(text) == ("Şimdi ışık", True)
+
+
+def test_a_stopped_search_is_reported(spark, monkeypatch):
+    rnd = random.Random(100)
+    junk = "".join(rnd.choice("ÃÄÅÂ€™š¼ýþþðabcýŸœ") for _ in range(100))
+    df = spark.createDataFrame([(1, junk), (2, TR.encode().decode("latin-1"))], "doc_id int, text string")
+    got = {r.doc_id: r.stopped for r in mj.repaired(df, "text", ["doc_id"]).collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_weighed_words():
+    assert mj._WEIGHED.findall("ışık, sýnav kar þ göl_şu açık1ş") == ["ışık", "sýnav", "þ", "şu", "açık", "ş"]
