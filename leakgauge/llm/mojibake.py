@@ -227,18 +227,16 @@ GAIN = 2.2
 #: States that one search opens at most. Garbled words need two to four and none of the test
 #: tables' more than 75; random characters could go on without end. What stops here is reported.
 BUDGET = 150
-#: Searches stopped by ``BUDGET`` since the worker began.
-STOPPED = [0]
 #: A move: the encoding taken back to bytes, and the one they are decoded with.
 Swap = tuple[str, str]
 
 
-def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float] = cost, settled: float = 0.4, slack: float = 4.0, least: float = 0.0) -> tuple[str, float, tuple[Swap, ...]]:
-    """Cheapest text by ``price``, its cost, the moves to it; a state under ``settled`` or ``slack`` above the start isn't opened.
+def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float] = cost, settled: float = 0.4, slack: float = 4.0, least: float = 0.0) -> tuple[str, float, tuple[Swap, ...], bool]:
+    """Cheapest text by ``price``, its cost, the moves to it, whether ``BUDGET`` stopped the search; a state under ``settled`` or ``slack`` above the start isn't opened.
 
     ``least`` is the lowest price any text can have. The search ends when no open
     state could still lead to a cheaper text, however deep it has to go for that;
-    one that has opened ``BUDGET`` states gives the best so far and is counted.
+    one that has opened ``BUDGET`` states gives the best so far.
     """
     best, best_cost, best_path = s, start, ()
     heap, seen, order, opened = [(start, 0, s, (), 0.0)], {hash(s)}, 0, 0
@@ -249,8 +247,7 @@ def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float]
         if least + spent + MOVE >= best_cost or c > start + slack or c < settled + spent:
             continue
         if opened == BUDGET:
-            STOPPED[0] += 1
-            break
+            return best, best_cost, best_path, True
         opened += 1
         nexts = [(as_utf8(state, name), (*path, (name, "utf-8")), 0.0 if name == "cp1252" else RARER) for name in AS_UTF8 if _lead(name).search(state)]
         if swaps and all(b == "utf-8" for _, b in path):
@@ -263,12 +260,12 @@ def _best_first(s: str, start: float, swaps: bool, price: Callable[[str], float]
                 seen.add(h)
                 order += 1
                 heapq.heappush(heap, (price(x) + spent + MOVE + extra, order, x, way, spent + MOVE + extra))
-    return best, best_cost, best_path
+    return best, best_cost, best_path, False
 
 
 @short_cache(200_000, 200)
-def cheapest(s: str) -> tuple[str, float, tuple[Swap, ...]]:
-    """``(text, what it gains, moves on the way)`` of the cheapest text reachable from ``s``.
+def cheapest(s: str) -> tuple[str, float, tuple[Swap, ...], bool]:
+    """``(text, what it gains, moves on the way, whether the search was stopped)`` of the cheapest text reachable from ``s``.
 
     Moves by UTF-8 leave no choice of letters and are searched first; single-byte
     swaps, which can turn anything into letters, only where those leave half of
@@ -276,12 +273,12 @@ def cheapest(s: str) -> tuple[str, float, tuple[Swap, ...]]:
     """
     start = cost(s)
     if start < GAIN:
-        return s, 0.0, ()
-    best, best_cost, path = _best_first(s, start, False)
+        return s, 0.0, (), False
+    best, best_cost, path, stopped = _best_first(s, start, False)
     if best_cost > 0.5 * start and any(_kind(x) in "atl" for x in s):
-        best, best_cost, path = _best_first(s, start, True)
+        best, best_cost, path, stopped = _best_first(s, start, True)
     gain = start - best_cost
-    return (best, gain, path) if best != s and gain >= GAIN else (s, 0.0, ())
+    return (best, gain, path, stopped) if best != s and gain >= GAIN else (s, 0.0, (), stopped)
 
 
 _STRETCH = re.compile(r"[^\n.!?]*(?:[.!?]+(?=\s|$)|[.!?]|\n|$)")
@@ -298,24 +295,30 @@ def stretches(s: str) -> list[str]:
 
 
 def search(s: str) -> tuple[str, bool]:
-    """Restored text and whether any part was changed or is lost.
+    """Restored text and whether any part was changed or is lost."""
+    return search_told(s)[:2]
+
+
+def search_told(s: str) -> tuple[str, bool, bool]:
+    """Restored text, whether any part was changed or is lost, whether a search was stopped.
 
     Parts between blanks are searched on their own, the same part once. A move
     that one part proves holds for the rest of its stretch where it does no harm.
     """
     if not _SUSPECT.search(s):
-        return s, False
-    out, hit = [], LOST in s
+        return s, False, False
+    out, hit, stopped = [], LOST in s, False
     for x in stretches(s):
         if _SUSPECT.search(x):
             swaps: list[Swap] = []
 
             def one(m: re.Match) -> str:
-                nonlocal hit
+                nonlocal hit, stopped
                 w = m[0]
                 if not _SUSPECT.search(w):
                     return w
-                y, gain, path = cheapest(w)
+                y, gain, path, cut_off = cheapest(w)
+                stopped |= cut_off
                 if gain:
                     hit = True
                     swaps.extend(path)
@@ -337,7 +340,7 @@ def search(s: str) -> tuple[str, bool]:
                 y = _PART.sub(again, y)
             x = y
         out.append(x)
-    return "".join(out), hit
+    return "".join(out), hit, stopped
 
 
 def thorn_words(s: str) -> list[str]:
@@ -345,14 +348,14 @@ def thorn_words(s: str) -> list[str]:
     return list({w for w in _WORDS.findall(s) if _THORN.search(w)}) if _THORN.search(s) else []
 
 
-def judge_thorns(s: str, weight: dict[str, float]) -> tuple[str, bool]:
+def judge_thorns(s: str, weight: dict[str, float]) -> tuple[str, bool, bool]:
     """The same search over stretches with thorn words, evidence being part of the price.
 
     ``weight`` says for each word how much more often the corpus writes it with
     the Turkish letters (a logarithm). A state is cheaper by the weights of the
     words it writes so, and dearer where it writes such a word in a third way.
     """
-    out, hit = [], False
+    out, hit, stopped = [], False, False
     for x in stretches(s):
         here = [w for w in _WORDS.findall(x) if _THORN.search(w)] if _THORN.search(x) else []
         if here:
@@ -367,11 +370,12 @@ def judge_thorns(s: str, weight: dict[str, float]) -> tuple[str, bool]:
 
             # No state can gain more than this; what a swap costs is more in most stretches.
             most = cost(x) + sum(max(0.0, weight.get(w, 0.0)) for _, _, w, _ in at)
-            y, _, path = _best_first(x, price(x), True, price, settled=-1e9, slack=0.0, least=cost(x) - most) if most > MOVE + SWAP else (x, 0.0, ())
+            y, _, path, cut_off = _best_first(x, price(x), True, price, settled=-1e9, slack=0.0, least=cost(x) - most) if most > MOVE + SWAP else (x, 0.0, (), False)
+            stopped |= cut_off
             if path and y != x:
                 hit, x = True, y
         out.append(x)
-    return "".join(out), hit
+    return "".join(out), hit, stopped
 
 
 #: Words with letters that thorn letters are confused with, or thorn letters themselves.
@@ -397,9 +401,8 @@ def repaired(df: DataFrame, text: str, key: list[str]) -> DataFrame:
             out = []
             for k, t in zip(b["keep"].to_dict("records") if isinstance(b["keep"], pd.DataFrame) else b["keep"], b["text"]):
                 if _SUSPECT.search(t):
-                    before = STOPPED[0]
-                    fixed, hit = search(t)
-                    thorns, stopped = thorn_words(fixed), STOPPED[0] > before
+                    fixed, hit, stopped = search_told(t)
+                    thorns = thorn_words(fixed)
                     if hit or thorns or stopped:
                         out.append((k, fixed, hit, stopped, thorns))
             if out:
@@ -447,10 +450,7 @@ def repaired(df: DataFrame, text: str, key: list[str]) -> DataFrame:
 
     @F.pandas_udf("fixed string, thorn boolean, stopped boolean")
     def settle(fixed: pd.Series, weights: pd.Series) -> pd.DataFrame:
-        got = []
-        for s, w in zip(fixed, weights):
-            before = STOPPED[0]
-            got.append((*(judge_thorns(s, dict(w)) if w else (s, False)), STOPPED[0] > before))
+        got = [judge_thorns(s, dict(w)) if w else (s, False, False) for s, w in zip(fixed, weights)]
         return pd.DataFrame(got, columns=["fixed", "thorn", "stopped"])
 
     settled = with_key.join(proof, "h", "left").withColumn("s", settle("fixed", "weights"))
