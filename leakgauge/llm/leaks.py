@@ -2,15 +2,18 @@
 
 Both sides are brought to plain words (case, accents, punctuation, layout,
 mark-up, escapes and wrong decoding undone). Spaced seeds then find where they
-meet: fixed masks over a window of words of which some are ignored, hashed by the
-words they select. As the hash doesn't name the mask, a full window on one side
-meets a window with a gap on the other, so a word changed, added or left out
-between the selected ones does no harm. Around the hits a local alignment counts
-the words in order and the edits between them.
-
-The corpus side is one narrow pass: it keeps only seeds that occur in the test
-side (whose seeds are few; their number is checked, and beyond the bound the
-plain hash join does the same work) and emits the stretches around them.
+meet: five masks select five words of a window, four of them ignoring one word
+inside. A seed names its mask. The test side also gives its full windows the names
+of the spaced masks and its spaced windows the name of the full one, so a word
+changed, added or left out between the selected ones does no harm, and no other
+windows meet. Every passage with the share of words kept that is asked for has at
+least two seeds at different places (proved over all cases in the tests), so a
+lone one is dropped before anything is joined. Around the hits a local alignment
+counts the words in order and the edits between them.
+
+The corpus side is one narrow pass behind a filter of fixed size made of the test
+side's seeds; what passes it meets the seeds themselves in a hash join. Equal items
+and equal stretches are worked on once, however many copies there are.
 """
 
 from __future__ import annotations
@@ -30,16 +33,18 @@ from leakgauge.llm import mojibake
 from leakgauge.llm.lookalikes import RESEMBLES
 from leakgauge.session import cut, spread
 
-#: Selected places of each seed; every mask selects four words.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4), (0, 1, 4, 5))
+#: Selected places of each seed; the full window first.
+MASKS = ((0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 2, 3, 5))
 #: A passage has at least so many words of the item's text in order.
 PASSAGE = 12
 #: About one word in eight may differ: least share of words kept.
 KEPT = 0.78
 #: Words around a hit that the alignment sees.
 MARGIN = 40
-#: Test seeds up to this number (16 MB of hashes) filter the corpus pass.
-FILTER_SEEDS = 2_000_000
+#: Bits of the filter (a power of two; 8 MB, whatever the test side holds). A fuller filter lets more through, nothing is lost.
+FILTER_BITS = 1 << 26
+#: Pairs of equal words from which the alignment goes by vectors of places.
+DENSE = 20_000
 
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=\w)[-\u2010\u00ad\u00ac]\s*\r?\n[\s>*#|]*(?=\w)")
@@ -121,17 +126,26 @@ def text_hashes(s: str | None) -> np.ndarray:
     return word_hashes(_RAW.findall(bare(s))) if s else np.zeros(0, np.int64)
 
 
-def seeds(h: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+_NAMES = (np.arange(len(MASKS), dtype=np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _named(x: np.ndarray, mask: int) -> np.ndarray:
+    y = (x ^ _NAMES[mask]) * np.uint64(0x9E3779B97F4A7C15)
+    return (y ^ (y >> np.uint64(32))).view(np.int64)
+
+
+def seeds(h: np.ndarray, bounds: np.ndarray | None = None, tests: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first place of every seed in a vector of word hashes.
 
     ``bounds`` holds where texts begin and end in the vector (first 0, last its
-    length); a seed never reaches from one text into the next.
+    length); a seed never reaches from one text into the next. ``tests`` gives the
+    seeds of the test side, which bear the names of the masks they may meet.
     """
     hashes, places = [], []
     u = h.view(np.uint64)
     if bounds is not None:
         room = np.repeat(bounds[1:], np.diff(bounds))  # where the text of each word ends
-    for mask in MASKS:
+    for m, mask in enumerate(MASKS):
         n = len(h) - mask[-1]
         if n <= 0:
             continue
@@ -143,28 +157,43 @@ def seeds(h: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray,
         if bounds is not None:
             fits = at + mask[-1] < room[:n]
             x, at = x[fits], at[fits]
-        hashes.append(x.view(np.int64))
-        places.append(at)
+        for name in (range(len(MASKS)) if m == 0 else (0, m)) if tests else (m,):
+            hashes.append(_named(x, name))
+            places.append(at)
     if not hashes:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(places)
 
 
+#: Where the three bits of a seed stand in the filter: bits of the seed from these on.
+_SHIFTS = (0, 19, 38)
+
+
 class Filter:
-    """Exact membership in a set of hashes; a table of their low bits answers most at once."""
+    """Membership in a set of hashes with few false and no missing answers; ``table`` holds the bits."""
 
-    def __init__(self, known: np.ndarray) -> None:
-        self.known = known
-        self.table = np.zeros(1 << 22, dtype=bool)
-        self.table[known & ((1 << 22) - 1)] = True
+    def __init__(self, table: np.ndarray) -> None:
+        self.table = table
+        self.mask = np.uint64(len(table) * 64 - 1)
 
     def hits(self, s: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.zeros(0, dtype=np.int64)
-        maybe = np.flatnonzero(self.table[s & ((1 << 22) - 1)])
-        where = np.searchsorted(self.known, s[maybe])
-        where[where == len(self.known)] = 0
-        return maybe[self.known[where] == s[maybe]]
+        """Places in ``s`` of the hashes that may be members."""
+        maybe = np.arange(len(s))
+        u = s.view(np.uint64)
+        for shift in _SHIFTS:
+            at = (u[maybe] >> np.uint64(shift)) & self.mask
+            maybe = maybe[(self.table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
+        return maybe
+
+
+def filter_table(seed_table: DataFrame, bits: int) -> np.ndarray:
+    """Bits of all seeds, set by an aggregate; at most one row for each 64 of them reaches the driver."""
+    slots = F.array(*[F.shiftrightunsigned("seed", k).bitwiseAND(F.lit(bits - 1).cast("bigint")) for k in _SHIFTS])
+    words = seed_table.select(F.explode(slots).alias("slot")).select(F.shiftrightunsigned("slot", 6).alias("at"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    got = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return table.view(np.uint64)
 
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
@@ -177,7 +206,10 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     at: dict[int, list[int]] = {}
     for j, w in enumerate(item.tolist()):
         at.setdefault(w, []).append(j)
-    points = [(i, j) for i, w in enumerate(doc.tolist()) for j in at.get(w, ())]
+    met = [(i, at[w]) for i, w in enumerate(doc.tolist()) if w in at]
+    if sum(len(js) for _, js in met) > DENSE:
+        return align_dense(met, len(item))
+    points = [(i, j) for i, js in met for j in js]
     best, top = [], (0.0, 0, 0)
     lo = 0
     for k, (i, j) in enumerate(points):
@@ -201,6 +233,32 @@ def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return top[1], top[2]
 
 
+def align_dense(met: list[tuple[int, list[int]]], n: int) -> tuple[int, int]:
+    """The same best chain where words repeat so often that pairs of points are too many.
+
+    One vector of the item's places for each word of the text; the last nine are
+    looked back on. Score and kept words are held in one number, as edits are their
+    difference. Work is linear in the text's length times the item's.
+    """
+    big = np.int64(1) << 32
+    least = -(np.int64(1) << 60)
+    recent: list[tuple[int, np.ndarray]] = []
+    top = 0
+    for i, js in met:
+        recent = [(a, row) for a, row in recent if a >= i - 9]
+        here = np.full(n, big + 1, dtype=np.int64)  # a chain that begins: score 1, kept 1
+        for a, row in recent:
+            for step in range(1, min(9, n - 1) + 1):
+                e = max(i - a, step) - 1
+                np.maximum(here[step:], row[:-step] + (1 - e) * big + 1, out=here[step:])
+        now = np.full(n, least, dtype=np.int64)
+        now[js] = here[js]
+        recent.append((i, now))
+        top = max(top, int(now.max()))
+    kept = top & 0xFFFFFFFF
+    return kept, kept - (top >> 32)
+
+
 def hidden(points: list[tuple[int, int]]) -> tuple[int, int] | None:
     """Words and edits of the first passage among the best chains from each start to each end.
 
@@ -232,54 +290,71 @@ def is_passage(kept: int, edits: int, passage: int = PASSAGE, share: float = KEP
     return kept + edits >= passage and kept >= share * (kept + edits)
 
 
-def item_seeds(items: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """``item, words`` (hash vectors) and ``seed, item`` of the test side."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hs = [text_hashes(t) for t in b["text"]]
-            yield pd.DataFrame({"item": b["item"], "words": hs, "seeds": [np.unique(seeds(h)[0]) for h in hs]})
+def _class(h: np.ndarray) -> str:
+    """Equal for equal vectors of words."""
+    return xxhash.xxh3_128_hexdigest(np.ascontiguousarray(h).tobytes())
 
-    kind = items.schema[key].dataType.simpleString()
-    both = cut(items.select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0).mapInPandas(run, f"item {kind}, words array<long>, seeds array<long>"))
-    return both.select("item", "words"), both.select(F.explode("seeds").alias("seed"), "item").distinct()
 
-
-def found(docs: DataFrame, doc_text: str, doc_key: str, items: DataFrame, item_text: str, item_key: str, filter_seeds: int = FILTER_SEEDS) -> DataFrame:
+def found(docs: DataFrame, doc_text: str, doc_key: str, items: DataFrame, item_text: str, item_key: str, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``doc_key, item_key`` of every document with a passage of an item.
 
     Null and empty texts on either side give no row; nor do items of fewer than
     ``PASSAGE`` words; repeated documents and items are each reported; a pair is
     reported once; lengths are unbounded; empty tables give an empty table.
     """
-    vectors, seed_table = item_seeds(items, item_text, item_key)
-    n_seeds = seed_table.select("seed").distinct().count()
-    known = None
-    if n_seeds <= filter_seeds:
-        known = np.array(sorted(r[0] for r in seed_table.select("seed").distinct().collect()), dtype=np.int64)
-    told = docs.sparkSession.sparkContext.broadcast(known)
+    candidates, members, owners = candidate_pairs(docs, doc_text, doc_key, items, item_text, item_key, filter_bits)
+
+    @F.pandas_udf("boolean")
+    def verify(part: pd.Series, item: pd.Series) -> pd.Series:
+        return pd.Series([is_passage(*align(np.asarray(a), np.asarray(b))) for a, b in zip(part, item)], dtype=bool)
+
+    told = candidates.where(verify("part", "words")).select("pc", "ic")
+    return told.join(members, "pc").join(owners, "ic").select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
+
+
+def candidate_pairs(docs: DataFrame, doc_text: str, doc_key: str, items: DataFrame, item_text: str, item_key: str, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``pc, ic, part, words`` of the classes of stretches and items with enough seeds in common, and who belongs to either."""
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hs = [text_hashes(t) for t in b["text"]]
+            yield pd.DataFrame({"item": b["item"], "ic": [_class(h) for h in hs], "words": hs})[[len(h) >= PASSAGE for h in hs]]
+
+    kind = items.schema[item_key].dataType.simpleString()
+    asked = items.select(F.col(f"`{item_key}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where(F.length("text") > 0)
+    asked = cut(asked.mapInPandas(vectors, f"item {kind}, ic string, words array<long>"))
+    owners = asked.select("item", "ic")
+    classes = asked.groupBy("ic").agg(F.first("words").alias("words"))
+
+    @F.pandas_udf("array<long>")
+    def test_seeds(words: pd.Series) -> pd.Series:
+        return words.map(lambda h: np.unique(seeds(np.asarray(h, dtype=np.int64), tests=True)[0]))
+
+    seed_table = cut(classes.select("ic", F.explode(test_seeds("words")).alias("seed")))
+    table = docs.sparkSession.sparkContext.broadcast(filter_table(seed_table, filter_bits))
     kind = docs.schema[doc_key].dataType.simpleString()
 
-    def stretches_of(ids: list, vectors: list[np.ndarray], known: Filter | None) -> Iterator[tuple]:
-        """Id, distinct seeds and words of each stretch with hits, the texts taken together."""
+    def stretches_of(ids: list, vectors: list[np.ndarray], known: Filter) -> Iterator[tuple]:
+        """Id, class, seeds with their places, and words of each stretch with enough hits, the texts taken together."""
         bounds = np.concatenate([[0], np.cumsum([len(v) for v in vectors])])
         h = np.concatenate(vectors) if vectors else np.zeros(0, np.int64)
         s, p = seeds(h, bounds)
-        if known is not None:
-            hit = known.hits(s)
-            s, p = s[hit], p[hit]
+        hit = known.hits(s)
+        s, p = s[hit], p[hit]
         order = np.argsort(p, kind="stable")
         s, p = s[order], p[order]
         doc = np.searchsorted(bounds, p, side="right") - 1
         # Hits of one text closer than the margin belong to one stretch.
         breaks = np.flatnonzero((np.diff(p) > MARGIN) | (np.diff(doc) > 0)) + 1
         for g in np.split(np.arange(len(p)), breaks) if len(p) else ():
+            if p[g[0]] == p[g[-1]]:
+                continue  # a passage has seeds at two places
             d = doc[g[0]]
             lo, hi = max(bounds[d], p[g[0]] - MARGIN), min(bounds[d + 1], p[g[-1]] + MARGIN + 6)
-            yield ids[d], np.unique(s[g]), h[lo:hi]
+            yield ids[d], _class(h[lo:hi]), s[g], p[g] - lo, h[lo:hi]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = None if told.value is None else Filter(told.value)
+        known = Filter(table.value)
         for b in batches:
             ids, vectors, size, out = [], [], 0, []
             for d, t in zip(b["doc"], b["text"]):
@@ -292,19 +367,14 @@ def found(docs: DataFrame, doc_text: str, doc_key: str, items: DataFrame, item_t
                     ids, vectors, size = [], [], 0
             out += stretches_of(ids, vectors, known)
             if out:
-                yield pd.DataFrame({"doc": pd.Series([o[0] for o in out], dtype=b["doc"].dtype), "seeds": pd.Series([o[1] for o in out], dtype=object), "part": pd.Series([o[2] for o in out], dtype=object)})
+                yield pd.DataFrame({"doc": pd.Series([o[0] for o in out], dtype=b["doc"].dtype), **{c: pd.Series([o[k] for o in out], dtype=object) for k, c in enumerate(("pc", "seeds", "places", "part"), 1)}})
 
     rows = docs.select(F.col(f"`{doc_key}`").alias("doc"), F.col(f"`{doc_text}`").alias("text")).where(F.length("text") > 0)
-    rows = spread(rows)
-    parts = rows.mapInPandas(scan, f"doc {kind}, seeds array<long>, part array<long>")
-    parts = cut(parts.withColumn("rid", F.monotonically_increasing_id()))
-    small = n_seeds <= filter_seeds
-    hits = parts.select("rid", F.explode("seeds").alias("seed"))
-    pairs = hits.join(F.broadcast(seed_table) if small else seed_table, "seed").select("rid", "item").distinct()
-
-    @F.pandas_udf("boolean")
-    def verify(part: pd.Series, item: pd.Series) -> pd.Series:
-        return pd.Series([is_passage(*align(np.asarray(a), np.asarray(b))) for a, b in zip(part, item)], dtype=bool)
-
-    both = pairs.join(parts.select("rid", "doc", "part"), "rid").join(F.broadcast(vectors) if small else vectors, "item")
-    return both.where(verify("part", "words")).select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
+    parts = cut(spread(rows).mapInPandas(scan, f"doc {kind}, pc string, seeds array<long>, places array<long>, part array<long>"))
+    members = parts.select("doc", "pc")
+    stretches = parts.groupBy("pc").agg(F.first("seeds").alias("seeds"), F.first("places").alias("places"), F.first("part").alias("part"))
+    hits = stretches.select("pc", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("pc", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
+    # Seeds are few after the filter; a hot one is split by the adaptive join. Two places are
+    # asked of each pair before words are fetched.
+    pairs = hits.join(seed_table, "seed").groupBy("pc", "ic").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi").select("pc", "ic")
+    return pairs.join(stretches.select("pc", "part"), "pc").join(classes, "ic"), members, owners

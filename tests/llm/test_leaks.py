@@ -1,6 +1,9 @@
+import itertools
 import random
+import time
 
 import numpy as np
+import pytest
 from leakgauge.llm import leaks as lk
 
 ITEM = "Encümen üyeleri 1960 kışında limana gelen zorunlu balık yükünü törenle boşaltırken ustaları hangi yönetmelik sınavını 228 gün yasakladı ve kimler onu sonradan yazdı"
@@ -47,12 +50,90 @@ def test_thin_chain_hides_no_passage(spark):
     assert {(k, k) for k in range(3)} <= {tuple(r) for r in lk.found(docs, "text", "doc_id", items, "t", "item_id").collect()}
 
 
-def test_seeds_survive_one_edit():
-    h = np.arange(10, 22, dtype=np.int64) * 7919
-    whole = set(lk.seeds(h)[0].tolist())
-    for k in range(3, 9):
-        for other in (np.delete(h, k), np.insert(h, k, 5), np.where(np.arange(12) == k, 5, h)):
-            assert whole & set(lk.seeds(other[max(0, k - 3) : k + 4])[0].tolist())
+def edited(n, at, kinds):
+    """Word hashes of item and document for a passage of n places with edits at some of them."""
+    item, doc = [], []
+    for k in range(n):
+        kind = kinds[at.index(k)] if k in at else ""
+        if kind != "added":
+            item.append(1_000_003 * (k + 1))
+        if not kind:
+            doc.append(1_000_003 * (k + 1))
+        elif kind != "left out":
+            doc.append(-7_919 * (k + 1))
+    return np.array(item, dtype=np.int64), np.array(doc, dtype=np.int64)
+
+
+@pytest.mark.parametrize("n,e", [(12, 1), (12, 2), (13, 2), (14, 3), (15, 3)])
+def test_every_passage_has_two_seeds(n, e):
+    """All placements and kinds of edits that leave the share of words kept; the full window alone loses some."""
+    assert lk.is_passage(n - e, e)
+    alone = 0
+    for at in itertools.combinations(range(1, n - 1), e):
+        for kinds in itertools.product(("changed", "added", "left out"), repeat=e):
+            item, doc = edited(n, at, kinds)
+            asked = set(lk.seeds(item, tests=True)[0].tolist())
+            s, p = lk.seeds(doc)
+            hit = [x in asked for x in s.tolist()]
+            assert len({int(x) for x, h in zip(p, hit) if h}) >= 2, (at, kinds)
+            full = len(doc) - 4
+            alone += not any(hit[:full])
+    assert alone or e < 2
+
+
+def test_filter_misses_nothing(spark):
+    rnd = np.random.default_rng(3)
+    known = rnd.integers(-(1 << 62), 1 << 62, 3_000)
+    other = rnd.integers(-(1 << 62), 1 << 62, 50_000)
+    for bits in (1 << 20, 64):
+        table = lk.filter_table(spark.createDataFrame([(int(x),) for x in known], "seed bigint"), bits)
+        f = lk.Filter(table)
+        assert len(f.hits(known)) == len(known) and len(table) == bits // 64
+        assert len(f.hits(other)) < 50 if bits > 64 else True
+
+
+def test_dense_alignment_is_the_same(monkeypatch):
+    rnd = random.Random(5)
+    for _ in range(120):
+        n, m = rnd.randint(1, 60), rnd.randint(1, 30)
+        doc, item = (np.array([rnd.randint(0, 5) for _ in range(k)], dtype=np.int64) for k in (n, m))
+        monkeypatch.setattr(lk, "DENSE", 10**9)
+        some = lk.align(doc, item)
+        monkeypatch.setattr(lk, "DENSE", -1)
+        dense = lk.align(doc, item)
+        assert dense == some or lk.is_passage(*some)
+    start = time.time()
+    monkeypatch.setattr(lk, "DENSE", 20_000)
+    assert lk.is_passage(*lk.align(np.zeros(20_000, dtype=np.int64), np.zeros(60, dtype=np.int64)))
+    assert time.time() - start < 20
+
+
+def test_copies_are_one_class(spark):
+    """Copies of an item and of a document meet once, whatever their number."""
+    docs = spark.range(3_000).selectExpr("id as doc_id", f"'önce {ITEM} sonra' as text")
+    items = spark.range(2).selectExpr("id as item_id", f"'{ITEM}' as t").union(spark.range(10, 2_000).selectExpr("id", "concat('x ', id, ' y z')"))
+    cand, members, owners = lk.candidate_pairs(docs, "text", "doc_id", items, "t", "item_id")
+    assert cand.count() == 1 and members.count() == 3_000 and owners.count() == 2
+    assert lk.found(docs, "text", "doc_id", items, "t", "item_id").count() == 6_000
+
+
+def test_edited_passages_are_found(spark):
+    """One word in eight changed, added or left out: all of brute force, few candidates for each."""
+    rnd = random.Random(9)
+    items = [(k, " ".join(f"söz{rnd.randint(0, 900)}" for _ in range(rnd.randint(16, 40)))) for k in range(60)]
+    docs = []
+    for d in range(300):
+        ws = rnd.choice(items)[1].split()
+        at = rnd.randint(0, len(ws) - 16)
+        ws = ws[at : at + 16]
+        for k in (rnd.randint(1, 7), rnd.randint(8, 14)):
+            ws[k : k + 1] = rnd.choice([["başka"], [], [ws[k], "araya"]])
+        docs.append((d, " ".join([f"dolgu{rnd.randint(0, 900)}" for _ in range(30)] + ws)))
+    di, ii = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, t string")
+    want = brute(docs, items)
+    assert len(want) >= 300
+    assert {tuple(r) for r in lk.found(di, "text", "doc_id", ii, "t", "item_id").collect()} == want
+    assert lk.candidate_pairs(di, "text", "doc_id", ii, "t", "item_id")[0].count() <= 3 * len(want)
 
 
 def brute(docs, items):
@@ -80,8 +161,8 @@ def test_operator_equals_brute_force(spark):
     di = spark.createDataFrame([(a, b, "z") for a, b in docs], "doc_id bigint, text string, item_id string")
     ii = spark.createDataFrame([(a, b, "z") for a, b in items], "item_id bigint, t string, doc_id string")
     want = brute(docs, items)
-    for bound in (lk.FILTER_SEEDS, 0):
-        got = lk.found(di, "text", "doc_id", ii, "t", "item_id", filter_seeds=bound)
+    for bits in (lk.FILTER_BITS, 64):
+        got = lk.found(di, "text", "doc_id", ii, "t", "item_id", filter_bits=bits)
         assert got.columns == ["doc_id", "item_id"]
         assert {tuple(r) for r in got.collect()} == want
     assert lk.found(di.limit(0), "text", "doc_id", ii, "t", "item_id").count() == 0
