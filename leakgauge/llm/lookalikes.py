@@ -1,25 +1,29 @@
 """One consistent form for text that looks the same but differs in its characters.
 
-Ignorable characters (zero-width, soft hyphen), widths, blanks and hyphens are
-settled by table first. A text's odd tokens (words with a character outside the
-plain alphabets) are then looked up in tries of the corpus's own vocabulary. The
-traversal is a weighted edit automaton: a look-alike letter matches the letters
-it resembles at no cost, a dot above a dotted i is skipped at no cost, a plain
-letter matches only itself; every other edit is cut off. Tokens that no trie word
-matches are normalised by table.
-
-Vocabulary and odd tokens meet in shards by the hash of their skeleton, so no
-task holds the whole vocabulary and nothing is broadcast or collected.
+A text's odd tokens, as they stand (with zero-width characters, full-width forms and
+letters of other alphabets in them), are looked up in tries of the corpus's own
+vocabulary. The traversal is a weighted edit automaton: ignorable characters,
+widths, look-alike letters and marks that look alike cost nothing, a foreign mark on
+a look-alike letter costs a little, marks elsewhere and other letters more; the
+cheapest word within ``LIMIT`` is the token's spelling, the more frequent one of
+equals. Tokens that no trie word matches, and all that is no token (blanks,
+hyphens, signs), are normalised by table.
+
+Vocabulary and odd tokens meet in shards by the beginning of their skeleton, as many
+as the vocabulary's size asks for, so no task holds the whole vocabulary and nothing
+is broadcast or collected.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +56,14 @@ HYPHENS = frozenset("\u2010\u2011\ufe63\uff0d")
 FILLERS = frozenset("\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u3164\uffa0")
 _JOINERS = "\u200c\u200d"
 #: A text without a match needs no look at all.
-ODD = r"[^\x20-\x7E\n\r\tçğıöşüÇĞİÖŞÜ]"
+_ODD = re.compile(r"[^\x20-\x7E\n\r\tçğıöşüÇĞİÖŞÜ]")
+#: Characters that show nothing, as a class.
+_UNSEEN = "\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e007f\U000e0100-\U000e01ef"
+_IS_UNSEEN = re.compile(f"[{_UNSEEN}]")
+#: Tokens as they stand: letters, digits, marks and what shows nothing among them.
+_RAW = re.compile(f"(?:[^\\W_]|[\u0300-\u036f{_UNSEEN}])+")
+#: Words of plain letters that stand free.
+_WORD = re.compile(r"(?<![^\s(\[{*\-,.:;])[A-Za-zçğıöşüÇĞİÖŞÜ]+(?![^\s)\]}*\-,.:;?!])")
 
 
 def _emoji(c: str) -> bool:
@@ -124,8 +135,14 @@ def choices(c: str) -> str:
 
 
 def odd_tokens(s: str) -> list[str]:
-    """Distinct words of a prepared text with letters foreign to the plain alphabets."""
-    return list({t for t in _TOKEN.findall(s) if not PLAIN.issuperset(t) and any(x in RESEMBLES or x in MARKS for x in unicodedata.normalize("NFD", t))})
+    """Distinct raw tokens with letters that have letters of other forms, foreign look-alikes or unseen characters."""
+
+    def odd(t: str) -> bool:
+        if PLAIN.issuperset(t) or not any(c.isalpha() for c in t):
+            return False
+        return any(x in RESEMBLES or x in MARKS or _IS_UNSEEN.match(x) or letter_form(x) != x or x == "\u0307" for x in unicodedata.normalize("NFD", t)) or unicodedata.normalize("NFC", t) != t
+
+    return [t for t in dict.fromkeys(_RAW.findall(s)) if odd(t)]
 
 
 def by_table(token: str) -> str:
@@ -138,10 +155,16 @@ def by_table(token: str) -> str:
 
 
 def skeleton(token: str) -> str:
-    """Equal for every spelling that the automaton matches at no cost."""
-    d = unicodedata.normalize("NFD", token)
-    out = "".join(choices(c)[-1] if c in RESEMBLES else MARKS.get(c, c) for c in d)
-    return out.replace("ı", "i").replace("\u0307", "")
+    """Equal for every spelling that the automaton may match: plain letters without marks, ignorables left out."""
+    d = unicodedata.normalize("NFD", "".join(letter_form(c) for c in token if not _IS_UNSEEN.match(c)))
+    d = unicodedata.normalize("NFD", "".join(choices(c)[-1] if c in RESEMBLES else c for c in d))
+    return "".join(c for c in d if not unicodedata.combining(c)).replace("ı", "i")
+
+
+#: Costs of the automaton's edits. Ignorables, widths, look-alikes and twin marks cost nothing.
+MARK_ON_LOOKALIKE, MARK, LETTER = 0.2, 0.4, 1.0
+#: Most that a spelling may cost.
+LIMIT = 0.3
 
 
 class Trie:
@@ -157,106 +180,150 @@ class Trie:
         if n > node.get("", ("", 0))[1]:
             node[""] = (word, n)
 
-    def match(self, token: str) -> str | None:
-        """Most frequent word reachable at cost nought; ties go to the smaller word.
+    def match(self, token: str, limit: float = LIMIT) -> str | None:
+        """Cheapest word within ``limit``; the more frequent one of equals, then the smaller.
 
-        States are (place in the token, trie node). A look-alike moves along each
-        letter that it resembles, a mark along its twin, a dot above i or j may be
-        skipped. Every other edit has a positive cost and is cut off here.
+        States are (cost, place in the raw token, trie node), opened by cost.
         """
         d = unicodedata.normalize("NFD", token)
-        states, found = [(0, self.root)], []
-        while states:
-            i, node = states.pop()
+        heap, order, found, least = [(0.0, 0, 0, self.root)], 0, [], limit
+        done: dict[tuple[int, int], float] = {}
+        while heap:
+            cost, _, i, node = heapq.heappop(heap)
+            if cost > least + 1e-9:
+                break
+            if done.get((i, id(node)), 1e9) <= cost:
+                continue
+            done[(i, id(node))] = cost
+            steps: list[tuple[float, int, dict]] = []
             if i == len(d):
                 if "" in node:
                     found.append(node[""])
-                continue
-            c = d[i]
-            steps = {c, *RESEMBLES.get(c, ""), MARKS.get(c, c)}
-            for x in steps:
-                if x in node:
-                    states.append((i + 1, node[x]))
-            if c == "\u0307" and i and d[i - 1] in "iјіj":
-                states.append((i + 1, node))
+                    least = cost
+            else:
+                c = d[i]
+                if c in node:
+                    steps.append((0.0, i + 1, node[c]))
+                if _IS_UNSEEN.match(c):
+                    steps.append((0.0, i + 1, node))
+                for x in (*RESEMBLES.get(c, ""), MARKS.get(c)):
+                    at = node
+                    for y in unicodedata.normalize("NFD", x) if x else ():
+                        at = at.get(y) if at is not None else None
+                    if x and at is not None:
+                        steps.append((0.0, i + 1, at))
+                plain = letter_form(c)
+                if plain != c:
+                    at = node
+                    for y in unicodedata.normalize("NFD", plain):
+                        at = at.get(y) if at is not None else None
+                    if at is not None:
+                        steps.append((0.0, i + 1, at))
+                if unicodedata.combining(c):
+                    on = next((x for x in reversed(d[:i]) if not unicodedata.combining(x) and not _IS_UNSEEN.match(x)), "")
+                    free = c == "\u0307" and on in tuple("iјіjι")
+                    steps.append((0.0 if free else MARK_ON_LOOKALIKE if on in RESEMBLES else MARK, i + 1, node))
+                elif cost + LETTER <= least:
+                    steps.append((LETTER, i + 1, node))
+                    steps += [(LETTER, i + 1, at) for x, at in node.items() if x and not unicodedata.combining(x) and x != c]
+            if cost + MARK <= least:
+                steps += [(MARK if unicodedata.combining(x) else LETTER, i, at) for x, at in node.items() if x]
+            for more, k, at in steps:
+                if cost + more <= least + 1e-9:
+                    order += 1
+                    heapq.heappush(heap, (cost + more, order, k, at))
         return min(found, key=lambda w: (-w[1], w[0]))[0] if found else None
 
 
-_SHARDS = 256
+#: Words of a shard's trie, about.
+SHARD_WORDS = 20_000
 
 
-def canonical_map(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``token, canon`` for distinct odd tokens, by shard tries of ``vocabulary(word, n)``."""
+def canonical_map(tokens: DataFrame, vocabulary: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """``token, canon`` of the distinct odd tokens that a word of ``vocabulary(word, n)`` matches."""
     skel = F.pandas_udf(lambda s: s.map(skeleton), T.StringType())
-    shard = F.pmod(F.xxhash64("sk"), F.lit(_SHARDS)).cast("int").alias("shard")
-    left = tokens.withColumn("sk", skel("token")).select(shard, "token", "sk")
-    right = vocabulary.withColumn("sk", skel("word"))
-    # Only words that share a skeleton with an odd token can be matched.
-    right = right.join(left.select("sk").distinct(), "sk", "left_semi").select(shard, "word", "n")
+    spark = tokens.sparkSession
+    n_shards = max(spark.sparkContext.defaultParallelism, vocabulary.count() // SHARD_WORDS + 1)
+
+    def shard(of: str) -> Column:
+        return F.pmod(F.xxhash64(F.substring(skel(of), 1, 3)), F.lit(n_shards)).cast("int").alias("shard")
+
+    left, right = tokens.select(shard("token"), "token"), vocabulary.select(shard("word"), "word", "n")
 
     def look_up(key: tuple, odd: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
-        for w, n in zip(words["word"], words["n"]):
+        for w, n in zip(words["word"], words["n"]) if len(odd) else ():
             trie.add(w, int(n))
-        canon = []
+        got = []
         for t in odd["token"]:
-            got = trie.match(t)
-            whole = not any(_latin(c) for c in t)
-            if got is None or whole and len(t) < 2:
-                got = by_table(t)
-            canon.append(got)
-        return pd.DataFrame({"token": odd["token"], "canon": canon})
+            # A single letter of another script is that script's word.
+            lone = len(letters := [c for c in t if not _IS_UNSEEN.match(c)]) < 2 and not any(_latin(c) for c in letters)
+            got.append(None if lone else trie.match(t, limit))
+        return pd.DataFrame({"token": odd["token"], "canon": pd.Series(got, index=odd.index, dtype=object)}).dropna()
 
     return left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(look_up, "token string, canon string")
 
 
-def consistent_texts(texts: DataFrame, min_count: int = 2) -> DataFrame:
-    """``text, fixed`` for every distinct text of column ``text`` that has odd characters.
+def form(text: str, canon: dict[str, str]) -> str:
+    """The consistent form: spellings that the tries settled, all else by table."""
+    s = prepare(_RAW.sub(lambda m: canon.get(m[0], m[0]), text))
+    return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: m[0] if PLAIN.issuperset(m[0]) else by_table(m[0]), s))
+
 
-    Null and empty texts and texts of plain characters give no row: they are their
-    own consistent form. Length is unbounded; repeated texts are worked on once;
-    an empty table gives an empty table. ``min_count`` is the least frequency of a
-    word in the vocabulary, which is counted over all texts.
+def settled(rows: DataFrame, min_count: int = 2, limit: float = LIMIT) -> DataFrame:
+    """``keep, text, fixed, by_trie`` of the rows of ``rows(keep, text)`` with odd characters.
+
+    ``by_trie`` counts the text's odd tokens whose spelling a trie settled,
+    ``odd`` all of them. ``min_count`` is the least frequency of a word in the
+    vocabulary, which is counted over all texts.
     """
-    some = spread(texts.select(F.col("text")).where(F.length("text") > 0))
-    plain = F.expr(r"regexp_extract_all(text, r'(?<![^\s(\[{*\-,.:;])([A-Za-zçğıöşüÇĞİÖŞÜ]+)(?![^\s)\]}*\-,.:;?!])', 1)")
-    words = some.select(F.explode(plain).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    kind = rows.schema["keep"].dataType.simpleString()
+    made = "keep " + kind + ", text string, tokens array<string>, word string, n long"
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ready = [prepare(s) for s in b["text"]]
-            yield pd.DataFrame({"text": b["text"], "ready": ready, "tokens": [odd_tokens(s) for s in ready]})
-
-    odd = some.where(F.col("text").rlike(ODD)).distinct()
-    odd = cut(odd.mapInPandas(work, "text string, ready string, tokens array<string>"))
-    pairs = odd.select("text", F.explode("tokens").alias("token"))
-    canon = canonical_map(pairs.select("token").distinct(), words).where("token <> canon")
-    maps = pairs.join(canon, "token").groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("token", "canon"))).alias("m"))
+            said: Counter[str] = Counter()
+            out = []
+            for k, t in zip(b["keep"], b["text"]):
+                said.update(_WORD.findall(t))
+                if _ODD.search(t):
+                    out.append((k, t, odd_tokens(t), None, None))
+            out += [(None, None, None, w, n) for w, n in said.items()]
+            if out:
+                yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=object if c != "n" else "Int64") for i, c in enumerate(("keep", "text", "tokens", "word", "n"))})
+
+    looked = cut(spread(rows.where(F.length("text") > 0)).mapInPandas(look, made))
+    words = looked.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    odd = looked.where("text is not null").select("keep", "text", "tokens").withColumn("rid", F.monotonically_increasing_id())
+    pairs = odd.select("rid", F.explode("tokens").alias("token"))
+    canon = canonical_map(pairs.select("token").distinct(), words, limit)
+    maps = pairs.join(canon, "token").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("token", "canon"))).alias("m"))
 
     @F.pandas_udf(T.StringType())
-    def apply_map(ready: pd.Series, m: pd.Series) -> pd.Series:
-        def one(s: str, x) -> str:
-            if not x:
-                return s
-            x = dict(x)
-            return unicodedata.normalize("NFC", _TOKEN.sub(lambda t: x.get(t[0], t[0]), s))
+    def fix(text: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([form(t, dict(x) if x else {}) for t, x in zip(text, m)], dtype=object)
+
+    got = odd.join(maps, "rid", "left")
+    return got.select("keep", "text", fix("text", "m").alias("fixed"), F.coalesce(F.size("m"), F.lit(0)).alias("by_trie"), F.size("tokens").alias("odd"))
 
-        return pd.Series([one(s, x) for s, x in zip(ready, m)])
 
-    return odd.join(maps, "text", "left").select("text", apply_map("ready", "m").alias("fixed"))
+@F.pandas_udf(T.BooleanType())
+def _is_odd(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: bool(t) and bool(_ODD.search(t)))
 
 
 def consistent(df: DataFrame, field: str, out: str = "consistent") -> DataFrame:
     """``df`` with ``out``, the consistent form of ``field``; null stays null.
 
-    All columns and rows stay, whatever their names; ``out`` replaces a column of
-    that name.
+    Null and empty texts and texts of plain characters are their own consistent
+    form. All columns and rows stay, whatever their names; ``out`` replaces a column
+    of that name. Length is unbounded; an empty table gives an empty table.
     """
     own = [c for c in df.columns if c != out]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("keep"), F.col(f"`{field}`").alias("text"))
-    fixed = consistent_texts(rows.select("text"))
-    got = rows.join(fixed, "text", "left")
-    return got.select(*[F.col("keep").getField(c).alias(c) for c in own], F.coalesce("fixed", "text").alias(out))
+    rows = df.select(F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(own)]).alias("keep"), F.col(f"`{field}`").alias("text"))
+    plain = rows.where(~F.coalesce(_is_odd("text"), F.lit(False))).select("keep", F.col("text").alias("fixed"))
+    got = plain.unionByName(settled(rows).select("keep", "fixed"))
+    return got.select(*[F.col("keep").getField(f"k{i}").alias(c) for i, c in enumerate(own)], F.col("fixed").alias(out))
 
 
 def found(frames: list[tuple[str, str, DataFrame]], key: str = "line_no") -> DataFrame:
@@ -266,7 +333,7 @@ def found(frames: list[tuple[str, str, DataFrame]], key: str = "line_no") -> Dat
     """
     rows = None
     for src, field, df in frames:
-        one = df.select(F.lit(src).alias("src_table"), F.lit(field).alias("field_name"), F.col(f"`{key}`").alias("line_no"), F.col(f"`{field}`").alias("text"))
+        keep = F.struct(F.lit(src).alias("src_table"), F.lit(field).alias("field_name"), F.col(f"`{key}`").alias("line_no"))
+        one = df.select(keep.alias("keep"), F.col(f"`{field}`").alias("text"))
         rows = one if rows is None else rows.unionByName(one)
-    fixed = consistent_texts(rows.select("text")).where("text <> fixed").select("text")
-    return rows.join(fixed, "text", "left_semi").select("src_table", "field_name", "line_no")
+    return settled(rows).where("text <> fixed").select("keep.src_table", "keep.field_name", "keep.line_no")

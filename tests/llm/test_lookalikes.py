@@ -39,3 +39,72 @@ def test_found(spark):
     got = lk.found([("t", "f", df)])
     assert [tuple(r) for r in got.collect()] == [("t", "f", 1)] * 2
     assert lk.found([("t", "f", df.limit(0))]).count() == 0
+
+
+def trie(*words):
+    t = lk.Trie()
+    for k, w in enumerate(words):
+        t.add(w, 100 - k)
+    return t
+
+
+def test_weights():
+    t = trie("göl", "kural", "kar")
+    assert t.match("ｋu\u200br\u00adаl") == "kural"  # widths, ignorables and look-alikes cost nothing
+    assert t.match("kυ\u0301ral") == "kural"  # a foreign mark on a look-alike is within the limit
+    assert t.match("gоl") is None and t.match("gоl", lk.MARK) == "göl"  # a mark that the word has costs more
+    assert t.match("kаrn") is None and t.match("kаrn", 1.0) == "kar" and t.match("kuraӏ", 0.0) == "kural"
+    assert t.match("kоral", 1.0) == "kural" and t.match("kоral") is None
+
+
+def test_weighted_walk_equals_brute_force():
+    """The cheapest cover over all alignments of token and word, on small alphabets."""
+    import functools
+    import random
+    import unicodedata
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcoğ") for _ in range(rnd.randint(1, 4))) for _ in range(12)]
+
+    def least(token, word):
+        a, b = unicodedata.normalize("NFD", token), unicodedata.normalize("NFD", word)
+
+        @functools.cache
+        def go(i, j):
+            best = [0.0] if i == len(a) and j == len(b) else []
+            mark = lambda c: bool(unicodedata.combining(c))
+            if i < len(a):
+                c = a[i]
+                if j < len(b) and (b[j] == c or b[j] in lk.RESEMBLES.get(c, "") or lk.MARKS.get(c) == b[j]):
+                    best.append(go(i + 1, j + 1))
+                if c == "\u200b":
+                    best.append(go(i + 1, j))
+                elif mark(c):
+                    on = next((x for x in reversed(a[:i]) if not mark(x) and x != "\u200b"), "")
+                    best.append((lk.MARK_ON_LOOKALIKE if on in lk.RESEMBLES else lk.MARK) + go(i + 1, j))
+                else:
+                    best.append(lk.LETTER + go(i + 1, j))
+                    if j < len(b) and not mark(b[j]):
+                        best.append(lk.LETTER + go(i + 1, j + 1))
+            if j < len(b):
+                best.append((lk.MARK if mark(b[j]) else lk.LETTER) + go(i, j + 1))
+            return min(best)
+
+        return go(0, 0)
+
+    t = trie(*words)
+    for _ in range(300):
+        token = "".join(rnd.choice("abcoğаосğ\u200b\u0301") for _ in range(rnd.randint(1, 5)))
+        for limit in (0.0, lk.LIMIT, 1.0, 2.0):
+            want = min(least(token, w) for w in words)
+            got = t.match(token, limit)
+            assert (got is None) == (want > limit + 1e-9), (token, limit)
+            if got:
+                assert abs(least(token, got) - want) < 1e-9
+
+
+def test_vocabulary_decides_and_shards_agree(spark, monkeypatch):
+    texts = [f"kelime{chr(97 + k)} ışık" for k in range(26)] * 2 + ["іşіk", "kеlіmeb"]
+    for size in (20_000, 1):
+        monkeypatch.setattr(lk, "SHARD_WORDS", size)
+        assert fixed(spark, texts)[-2:] == ["ışık", "kelimeb"]
