@@ -2,25 +2,29 @@
 
 The notation of each field is recognised first. Lists that carry their own
 quoting (JSON, Python and NumPy literals, encoded any number of times) and
-lettered lists split without doubt; their values form the dictionary of known
-whole values. All other fields are bare text with delimiters that may also stand
-inside values. Those are cut by dictionary: an Aho-Corasick automaton over the
-known values finds every occurrence, and dynamic programming picks the cover of
-the field with the fewest doubts, so that delimiters inside known values stay.
-
-The dictionary is never broadcast. Each bare field's candidate stretches are
-hash-joined with it, and the automaton of a batch holds only the batch's hits.
+lettered lists split without doubt; their values, with their counts, form the
+dictionary of known whole values. All other fields are bare text with delimiters
+that may also stand inside values. Those are cut by dictionary: an Aho-Corasick
+automaton over the known values finds every occurrence, and dynamic programming
+picks the cover of the field with the fewest doubts (a known value costs the less
+the more often it is known), so that delimiters inside known values stay.
+
+The dictionary is dealt out in shards by the first word of its values; a field
+visits the shards of the words that its pieces begin with. Shards and fields share
+one shuffle: in each partition a shard's values come first and build its automaton,
+then its fields stream by in batches. Nothing is broadcast or collected.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count, product
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leakgauge.functions.cache import short_cache
 from leakgauge.session import cut, spread
@@ -28,10 +32,20 @@ from leakgauge.session import cut, spread
 _ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", re.S)
 _PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 _CLOSER = {"[": "]", "(": ")", "{": "}"}
-_DELIM = re.compile(r"\r\n|[\n\r\t|;,]| / ")
+_DELIM = re.compile(r"\r\n|[\n\r\t|;,•¦、]| [/·] ")
+#: Delimiters that stand before each value, the first one too.
+_BULLETS = ("•", " · ")
 _QUOTES = {'"': '"', "'": "'", "“": "”“", "„": "“”", "«": "»", "‘": "’", "‹": "›", "`": "`"}
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_MARK = re.compile(r"(?:^|(?<=[\s;|,/]))\(?([A-Za-z]|\d{1,2})(\)|\.|:|-|\])")
+_MARK = re.compile(r"(?:^|(?<=[\s;|,/]))\(?([A-Za-z]{1,3}|\d+)(\)|\.|:|-|\])")
+
+
+def _labels(numbers: bool) -> Iterator[str]:
+    """1, 2, 3, ... or A to Z, AA, AB, ... without end."""
+    if numbers:
+        yield from map(str, count(1))
+    for n in count(1):
+        yield from ("".join(x) for x in product(_LETTERS, repeat=n))
 
 
 def _unescape(s: str) -> str:
@@ -87,10 +101,12 @@ def _lettered(s: str) -> list[str] | None:
     style, run = marks[0][3], []
     if marks[0][2] not in ("A", "1"):
         return None
-    wanted = _LETTERS if marks[0][2] == "A" else [str(k) for k in range(1, 100)]
+    labels = _labels(marks[0][2] == "1")
+    wanted = next(labels)
     for m in marks:
-        if len(run) < len(wanted) and m[2] == wanted[len(run)] and m[3] == style:
+        if m[2] == wanted and m[3] == style:
             run.append(m)
+            wanted = next(labels)
     if len(run) < 2:
         return None
     ends = [m[0] for m in run[1:]] + [len(s)]
@@ -106,8 +122,8 @@ def _lettered(s: str) -> list[str] | None:
 def _strip_marks(values: list[str]) -> list[str]:
     """Option letters go where all values carry them in order."""
     if len(values) > 1:
-        got = [re.match(r"\s*\(?([A-Za-z])(?:\)|\.|:|-)\s*(.*)$", v, re.S) for v in values]
-        if all(m and m[1].upper() == c for m, c in zip(got, _LETTERS)) and len(values) <= len(_LETTERS):
+        got = [re.match(r"\s*\(?([A-Za-z]{1,3})(?:\)|\.|:|-)\s*(.*)$", v, re.S) for v in values]
+        if all(m and m[1].upper() == c for m, c in zip(got, _labels(False))):
             return [m[2] for m in got]
     return values
 
@@ -121,28 +137,29 @@ def _bare_value(v: str) -> str:
     return v
 
 
-def parse(text: str | None, depth: int = 0) -> tuple[str, list[str] | None]:
+def parse(text: str | None) -> tuple[str, list[str] | None]:
     """``(kind, values)``: empty, list, letter or single; bare without values.
 
     For a bare field the text itself (without enclosing brackets) is returned as
-    the only value; ``segment`` cuts it.
+    the only value; ``segment`` cuts it. Each level of encoding makes the text
+    shorter, so any number of them is undone.
     """
     s = (text or "").strip().lstrip("\ufeff")
     if not s:
         return "empty", []
-    if depth < 8 and s[0] in "\"'" and s[-1] == s[0] and (got := _literal(s, 0)) and got[1] == len(s) and got[0].lstrip()[:1] in ("[", "(", '"', "'", "{"):
-        return parse(got[0], depth + 1)
-    if depth < 8 and s[:3] == '"""' and s[-1] == '"' and s[1:-1].replace('""', '"').lstrip()[:2] in ('"[', '["'):
-        return parse(s[1:-1].replace('""', '"'), depth + 1)
-    if s[0] == '"' and s[-1] == '"' and s[1:2] in "[(" and depth < 8 and s[1:-1].rstrip()[-1:] == _CLOSER[s[1]]:
-        return parse(s[1:-1].replace('""', '"'), depth + 1)
+    if s[0] in "\"'" and s[-1] == s[0] and (got := _literal(s, 0)) and got[1] == len(s) and got[0].lstrip()[:1] in ("[", "(", '"', "'", "{"):
+        return parse(got[0])
+    if s[:3] == '"""' and s[-1] == '"' and s[1:-1].replace('""', '"').lstrip()[:2] in ('"[', '["'):
+        return parse(s[1:-1].replace('""', '"'))
+    if s[0] == '"' and s[-1] == '"' and s[1:2] in "[(" and s[1:-1].rstrip()[-1:] == _CLOSER[s[1]]:
+        return parse(s[1:-1].replace('""', '"'))
     if s[0] in _CLOSER and s[-1] == _CLOSER[s[0]]:
         if not s[1:-1].strip():
             return "empty", []
         got = _quoted_list(s)
         if got is not None:
-            if len(got) == 1 and depth < 8 and got[0].strip()[:1] in ("[", "(", '"'):
-                kind, values = parse(got[0], depth + 1)
+            if len(got) == 1 and got[0].strip()[:1] in ("[", "(", '"'):
+                kind, values = parse(got[0])
                 if kind == "list":
                     return kind, values
             return "list", [_bare_value(v) for v in _strip_marks(got)]
@@ -154,57 +171,54 @@ def parse(text: str | None, depth: int = 0) -> tuple[str, list[str] | None]:
     return "bare", [s]
 
 
+_STOP = re.compile("[\"'“„«‘‹`]|" + _DELIM.pattern)
+_SPACED = re.compile(r",\s")
+_BLANKS = re.compile(r"[ \xa0]*")
+
+
 def pieces(s: str) -> list[tuple[int, int, str, bool]]:
     """Stretches between delimiters: start, end, delimiter behind, quoted as a whole."""
     out, i, n = [], 0, len(s)
     start, quoted = 0, False
-    spaced = bool(re.search(r",\s", s))
-    while i <= n:
-        if i < n and s[i] in _QUOTES and not s[start:i].strip():
-            q, j = s[i], i + 1
-            while (j := min((x for c in _QUOTES[q] if (x := s.find(c, j)) >= 0), default=-1)) >= 0:
-                if s[j + 1 : j + 2] == q and q == '"':
-                    j += 2
-                    continue
-                after = re.match(r"[ \xa0]*", s[j + 1 :]).end() + j + 1
-                if after >= n or _DELIM.match(s, after) or (after > j + 1 and _DELIM.match(s, after - 1)):
-                    quoted, i = True, j + 1
-                    break
-                if q != '"':
-                    j = -1
-                    break
-                j += 1
-            if quoted:
-                continue
-        m = _DELIM.match(s, i) if i < n else None
-        if m and m[0] == "," and spaced and s[i - 1 : i].isdigit() and s[i + 1 : i + 2].isdigit():
-            m = None  # a decimal comma, as the separating ones are followed by a blank
-        if i == n or m:
-            out.append((start, i, m[0] if m else "", quoted))
-            start, quoted = (m.end() if m else i), False
-            i = m.end() if m else i + 1
+    spaced = bool(_SPACED.search(s))
+    while m := _STOP.search(s, i):
+        i = m.start()
+        if s[i] in _QUOTES:
+            j = -1
+            if not s[start:i].strip():
+                q, j = s[i], i + 1
+                while (j := min((x for c in _QUOTES[q] if (x := s.find(c, j)) >= 0), default=-1)) >= 0:
+                    if s[j + 1 : j + 2] == q and q == '"':
+                        j += 2
+                        continue
+                    after = _BLANKS.match(s, j + 1).end()
+                    if after >= n or _DELIM.match(s, after) or (after > j + 1 and _DELIM.match(s, after - 1)):
+                        quoted = True
+                        break
+                    if q != '"':
+                        j = -1
+                        break
+                    j += 1
+            i = j + 1 if j >= 0 else i + 1
+        elif m[0] == "," and spaced and s[i - 1 : i].isdigit() and s[i + 1 : i + 2].isdigit():
+            i += 1  # a decimal comma, as the separating ones are followed by a blank
         else:
-            i += 1
+            out.append((start, i, m[0], quoted))
+            start, quoted, i = m.end(), False, m.end()
+    out.append((start, n, "", quoted))
     return out
 
 
-def stretches(s: str, longest: int) -> list[str]:
-    """Candidate whole values of a bare field: up to ``longest`` neighbouring pieces."""
-    ps = pieces(s)
-    found = set()
-    for a in range(len(ps)):
-        for b in range(a, min(len(ps), a + longest)):
-            v = s[ps[a][0] : ps[b][1]].strip()
-            if v:
-                found.add(v)
-    return list(found)
+_JOINED = re.compile(r"\w+ (?:ve|veya|ile|and|or|und|et|y|e) \w+$")
 
 
-_JOINED = re.compile(r"\w+ (?:ve|veya|ile|and|or|und|et|y|e) \w+$")
+def _known_cost(n: float) -> float:
+    """Cost of a known value by how often it is known."""
+    return 0.05 + 0.45 / (1.0 + n)
 
 
-def _segment(s: str, ps: list, known: set[str], spans: set[tuple[int, int]], follow: set[str], seps: set[str]) -> tuple[float, list[tuple[int, int]]]:
-    """Cheapest cover of the pieces, cut only at delimiters of ``seps``."""
+def _segment(s: str, ps: list, spans: dict[tuple[int, int], float], follow: set[str], seps: set[str]) -> tuple[float, list[tuple[int, int]]]:
+    """Cheapest cover of the pieces, cut only at delimiters of ``seps``; ``spans`` has the costs of known values."""
     n = len(ps)
     covered = set()  # delimiters that stand inside a known value
     for a, b in spans:
@@ -231,7 +245,7 @@ def _segment(s: str, ps: list, known: set[str], spans: set[tuple[int, int]], fol
                 continue
             v = s[ps[a][0] : ps[b - 1][1]].strip()
             if a == b - 1 and ps[a][3] or (a, b - 1) in spans:
-                cost = 0.05
+                cost = spans.get((a, b - 1), 0.05)
             elif not v:
                 cost = 0.9
             else:
@@ -241,7 +255,7 @@ def _segment(s: str, ps: list, known: set[str], spans: set[tuple[int, int]], fol
                     cost += 3.0
                 if a and ps[a - 1][2] == "," and first_upper and word[:1].islower():
                     cost += 1.5
-                if b - 1 > a and inner and all(q[2] == "," for q in ps[a : b - 1]) and _JOINED.search(v) and len(v.split()) == len(ps[a:b]) + 2:
+                if b - 1 > a and inner and all(q[2] == "," and not q[3] for q in ps[a : b - 1]) and _JOINED.search(v) and len(v.split()) == len(ps[a:b]) + 2:
                     cost = 1.0  # one enumeration, as in "x, y and z"
             if best[a][0] + cost < best[b][0] - 1e-9:
                 best[b] = (best[a][0] + cost, a)
@@ -255,112 +269,185 @@ def _segment(s: str, ps: list, known: set[str], spans: set[tuple[int, int]], fol
     return best[n][0], cover[::-1]
 
 
-def segment(s: str, known: set[str], follow: set[str], automaton=None) -> list[str]:
-    """Cut one bare field. ``known``: whole values; ``follow``: words that only continue values."""
+def known_spans(s: str, automaton) -> list[tuple[int, int, int]]:
+    """First piece, last piece and count of the known values that stand in a bare field as whole pieces."""
     ps = pieces(s)
-    spans: set[tuple[int, int]] = set()
-    if automaton is not None:
-        starts = {len(s[: p[0]]) + len(s[p[0] : p[1]]) - len(s[p[0] : p[1]].lstrip()): k for k, p in enumerate(ps)}
-        ends = {p[0] + len(s[p[0] : p[1]].rstrip()): k for k, p in enumerate(ps)}
-        for end, value in automaton.iter(s):
-            a, b = starts.get(end + 1 - len(value)), ends.get(end + 1)
-            if a is not None and b is not None and a <= b:
-                spans.add((a, b))
+    starts = {p[1] - len(s[p[0] : p[1]].lstrip()): k for k, p in enumerate(ps)}
+    ends = {p[0] + len(s[p[0] : p[1]].rstrip()): k for k, p in enumerate(ps)}
+    out = []
+    for end, (value, n) in automaton.iter(s):
+        a, b = starts.get(end + 1 - len(value)), ends.get(end + 1)
+        if a is not None and b is not None and a <= b:
+            out.append((a, b, n))
+    return out
+
+
+def segment(s: str, follow: set[str] = frozenset(), spans: dict[tuple[int, int], float] | None = None, comma_separates: bool = True) -> list[str]:
+    """Cut one bare field.
+
+    ``spans``: costs of known values by first and last piece; ``follow``: words
+    that only continue values. With ``comma_separates`` each comma outside quotes
+    separates where nothing else can; without it known values keep theirs there too.
+    """
+    ps, spans = pieces(s), spans or {}
     strong = {p[2] for p in ps if p[2]} - {","}
-    for seps in ([strong] if strong else []) + [{","}]:
-        # Where only commas can separate, each one outside quotes does.
-        whole = {(x, y) for x, y in spans if not any(ps[k][2] == "," for k in range(x, y))} if seps == {","} else spans
-        _, cover = _segment(s, ps, known, whole, follow, seps)
-        if len(cover) > 1:
-            break
+    cover = [(0, len(ps))]
+    if strong:
+        _, cover = _segment(s, ps, spans, follow, strong)
+    if len(cover) < 2:
+        cover = [(k, k + 1) for k in range(len(ps))] if comma_separates and not strong else _segment(s, ps, {x: c for x, c in spans.items() if not comma_separates or not any(ps[k][2] == "," for k in range(*x))}, follow, {","})[1]
     out = []
     for k, (a, b) in enumerate(cover):
         v = s[ps[a][0] : ps[b - 1][1]]
-        if k == len(cover) - 1 and k and not v.strip():
-            continue  # a delimiter behind the last value adds none
+        if not v.strip() and len(cover) > 1 and (k == len(cover) - 1 or k == 0 and ps[0][2] in _BULLETS):
+            continue  # a delimiter behind the last value adds none, nor does a bullet before the first
         out.append(_bare_value(v))
     return _strip_marks(out)
 
 
-_PARSED = T.StructType(
-    [T.StructField("kind", T.StringType()), T.StructField("vals", T.ArrayType(T.StringType()))]
-)
-
-
 @short_cache(50_000, 1_000)
 def _parsed(text: str) -> tuple[str, tuple[str, ...]]:
     kind, values = parse(text)
     return kind, tuple(values)
 
 
-def _parse_batch(texts: pd.Series) -> pd.DataFrame:
-    got = [_parsed(x or "") for x in texts]
-    return pd.DataFrame({"kind": [k for k, _ in got], "vals": [list(v) for _, v in got]})
+_FIRST = re.compile(r"[^\s;|,/•¦、·]+")
+_BEHIND = re.compile(r"[;|,/\t\n•¦、] ?(\S+)")
+
 
+def first_word(s: str, start: int = 0, end: int | None = None) -> str:
+    """The word that a value or a piece of a field begins with; it names the shard."""
+    m = _FIRST.search(s, start, len(s) if end is None else end)
+    return m[0] if m else ""
 
-def split_packed(df: DataFrame, field: str, out_pos: str = "pos", out_val: str = "val") -> DataFrame:
+
+#: Kinds of dictionary rows: a value, a word that begins values, a word behind a delimiter inside them.
+VALUE, BEGINS, CONTINUES = 0, 1, 2
+#: Dictionary rows of a shard, about.
+SHARD_VALUES = 50_000
+#: Partitions that the fields of one shard are dealt out to; each builds the shard's automaton.
+SALTS = 4
+
+
+def split_packed(df: DataFrame, field: str, out_pos: str = "pos", out_val: str = "val", comma_separates: bool = True) -> DataFrame:
     """One row per packed value, with all other columns of ``df`` and no ``field``.
 
     ``out_pos`` counts from 0. Null, blank and empty-list fields give no row; an
     empty value between others keeps its place; repeated rows are split alike;
     an empty table gives an empty table. Other columns may have any name: the
     operator's own work happens in one struct column beside them.
+    ``comma_separates`` says whether a comma outside quotes always separates where
+    nothing else in the field does.
     """
     others = [c for c in df.columns if c != field]
-    parse_udf = F.pandas_udf(_parse_batch, _PARSED)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("keep") if others else F.lit(1).alias("keep"), F.col(f"`{field}`").alias("text"))
-    rows = cut(spread(rows.where(F.length(F.trim("text")) > 0)).withColumn("p", parse_udf("text")).select("keep", "p.kind", "p.vals"))
-
-    sure = rows.where(F.col("kind").isin("list", "letter"))
-    words = sure.select(F.explode("vals").alias("v")).where(F.length("v") > 0).groupBy("v").agg(F.count("*").alias("n"))
-    known = words.select("v")
-    bare = rows.where(F.col("kind") == "bare").select("keep", F.col("vals")[0].alias("text"))
-
-    # Words that stand behind a delimiter inside known values and never begin one.
-    inner = known.where(F.col("v").rlike(r"[;,|/\t\n]"))
-    begins = known.select(F.regexp_extract("v", r"^\S+", 0).alias("w")).distinct()
-    follow = (
-        inner.select(F.explode(F.expr(r"regexp_extract_all(v, r'[;|] (\S+)', 1)")).alias("w"))
-        .distinct()
-        .join(begins, "w", "left_anti")
-    )
-    widest = inner.agg(F.max(F.length("v") - F.length(F.translate("v", ";,|/\t\n", ""))).alias("d"))
-
-    # A bare text that many rows share is joined once.
-    texts = bare.select("text").distinct()
-    longest = int(widest.first()[0] or 0) + 1  # one number: no known value has more delimiters
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def candidates(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: stretches(x, longest))
-
-    asked = texts.select("text", F.explode(candidates("text")).alias("v"))
-    hits = asked.join(known, "v").groupBy("text").agg(F.collect_set("v").alias("hits"))
-    # Words are few per language but unbounded in principle: joined like the values.
-    said = texts.select("text", F.explode(F.expr(r"array_distinct(regexp_extract_all(text, r'[;|]\s*([^\s;|]+)', 1))")).alias("w"))
-    conts = said.join(follow, "w").groupBy("text").agg(F.collect_set("w").alias("conts"))
-    plan = texts.join(hits, "text", "left").join(conts, "text", "left")
-
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keep = F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)]) if others else F.struct(F.lit(1).alias("k0"))
+    rows = spread(df.select(keep.alias("keep"), F.col(f"`{field}`").alias("text")).where(F.length(F.trim("text")) > 0))
+    kind = rows.schema["keep"].dataType.simpleString()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Fields by notation, and the dictionary's counts of the batch."""
+        for b in batches:
+            words: Counter[tuple[int, str]] = Counter()
+            out = []
+            for k, t in zip(b["keep"], b["text"]):
+                how, values = _parsed(t)
+                if how == "bare":
+                    out.append((k, None, values[0], sorted({p[2] for p in pieces(values[0])} - {""}), None, None, None, None))
+                elif how != "empty":
+                    out.append((k, values, None, None, None, None, None, None))
+                    for v in filter(None, values):
+                        words[VALUE, v] += 1
+            for (_, v), n in list(words.items()):
+                words[BEGINS, first_word(v)] += n
+                for w in {first_word(x) for x in _BEHIND.findall(v)} - {""}:
+                    words[CONTINUES, w] += n
+            out += [(None, None, None, None, how, w, n, first_word(w)) for (how, w), n in words.items()]
+            if out:
+                yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype="Int64" if c in ("kind", "n") else object) for i, c in enumerate(("keep", "vals", "bare", "delims", "kind", "word", "n", "first"))})
+
+    looked = cut(rows.mapInPandas(read, f"keep {kind}, vals array<string>, bare string, delims array<string>, kind int, word string, n long, first string"))
+    sure = looked.where("vals is not null").select("keep", "vals")
+    bare = looked.where("bare is not null").select("keep", F.col("bare").alias("text"), "delims")
+    entries = looked.where("word is not null").groupBy("kind", "word", "first").agg(F.sum("n").alias("n"))
+
+    # Only delimiters that stand inside known values leave a choice. They are a handful of signs.
+    signs = [";", "|", "/", "\t", "\n", ",", "•", "¦", "、", "·"]
+    values = looked.where((F.col("kind") == VALUE) & F.col("word").rlike(r"[;|/\t\n,•¦、·]"))
+    seen = values.agg(*[F.coalesce(F.bool_or(F.contains("word", F.lit(c))), F.lit(False)).alias(f"s{k}") for k, c in enumerate(signs)]).first()
+    held = {c for k, c in enumerate(signs) if seen[f"s{k}"]}
+    free = [d for d in (";", "|", "\t", "\n", "\r\n", "\r", ",", " / ", "•", "¦", "、", " · ") if d.strip(" ") in held or d.strip() == "" and "\n" in held]
+    doubt = F.arrays_overlap("delims", F.array(*map(F.lit, free))) if free else F.lit(False)
+    if comma_separates:  # where only commas can separate, no known value has a say
+        doubt = doubt & (F.array_remove("delims", ",") != F.array().cast("array<string>"))
+
+    @F.pandas_udf("array<string>")
+    def plainly(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: segment(x, comma_separates=comma_separates))
+
+    done = sure.unionByName(bare.where(~doubt).select("keep", plainly("text").alias("vals")))
+    if free:
+        done = done.unionByName(_by_dictionary(bare.where(doubt).select("keep", "text"), entries, comma_separates))
+    flat = done.select("keep", F.posexplode("vals").alias("lg_pos", "lg_val"))
+    own = [F.col("keep").getField(f"k{i}").alias(c) for i, c in enumerate(others) if c not in (out_pos, out_val)]
+    return flat.select(*own, F.col("lg_pos").cast("int").alias(out_pos), F.col("lg_val").alias(out_val))
+
+
+def _by_dictionary(bare: DataFrame, entries: DataFrame, comma_separates: bool) -> DataFrame:
+    """``keep, vals`` of bare fields ``keep, text``, cut with the dictionary ``kind, word, first, n``."""
+    spark = bare.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_shards = max(parts, entries.count() // SHARD_VALUES + 1)
+    kind = bare.schema["keep"].dataType.simpleString()
+
+    def shard(word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(n_shards)).cast("int")
+
+    @F.pandas_udf("array<string>")
+    def begins(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: list(dict.fromkeys(first_word(x, p[0], p[1]) for p in pieces(x))))
+
+    nothing = F.lit(None)
+    values = entries.select(
+        shard(F.col("first")).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "kind", "word", "n",
+        nothing.cast("bigint").alias("rid"), nothing.cast(kind).alias("keep"), nothing.cast("string").alias("text"),
+    )
+    fields = bare.withColumn("rid", F.monotonically_increasing_id())
+    # A shard is visited once; the field itself travels with its first visit.
+    visits = fields.select("rid", "keep", "text", F.explode(F.array_distinct(F.transform(begins("text"), shard))).alias("shard"))
+    visits = visits.select("shard", F.pmod("rid", F.lit(SALTS)).cast("int").alias("salt"), nothing.cast("int").alias("kind"), nothing.cast("string").alias("word"), nothing.cast("bigint").alias("n"), "rid", "keep", "text")
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Known values in the fields of each shard; its dictionary comes before them."""
         import ahocorasick
 
+        now, auto, follow, starts = None, None, set(), set()
         for b in batches:
-            auto = ahocorasick.Automaton()
-            for vs in b["hits"]:
-                for v in vs if vs is not None else ():
-                    auto.add_word(v, v)
-            if len(auto):
-                auto.make_automaton()
-            use = auto if len(auto) else None
-            values = [
-                segment(s, set(h) if h is not None else set(), set(c) if c is not None else set(), use)
-                for s, h, c in zip(b["text"], b["hits"], b["conts"])
-            ]
-            yield pd.DataFrame({"text": b["text"], "vals": values})
-
-    done = plan.mapInPandas(cover, "text string, vals array<string>")
-    cutted = bare.join(done, "text").select("keep", "vals")
-    flat = sure.select("keep", "vals").unionByName(cutted)
-    flat = flat.select("keep", F.posexplode("vals").alias("lg_pos", "lg_val"))
-    keep = [F.col("keep").getField(c).alias(c) for c in others if c not in (out_pos, out_val)]
-    return flat.select(*keep, F.col("lg_pos").cast("int").alias(out_pos), F.col("lg_val").alias(out_val))
+            out = []
+            for sh, salt, how, word, n, rid, keep, text in zip(*(b[c] for c in ("shard", "salt", "kind", "word", "n", "rid", "keep", "text"))):
+                if (sh, salt) != now:
+                    now, auto, follow, starts, ready = (sh, salt), ahocorasick.Automaton(), set(), set(), False
+                if text is None:
+                    if how == VALUE:
+                        auto.add_word(word, (word, int(n)))
+                    else:
+                        (starts if how == BEGINS else follow).add(word)
+                    continue
+                if not ready:
+                    ready = True
+                    if len(auto):
+                        auto.make_automaton()
+                spans = known_spans(text, auto) if len(auto) else []
+                conts = [w for w in {first_word(text, p[0], p[1]) for p in pieces(text)} if w in follow and w not in starts]
+                out.append((rid, keep, text, [list(map(int, x)) for x in spans], conts))
+            if out:
+                yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=object if i else "int64") for i, c in enumerate(("rid", "keep", "text", "spans", "conts"))})
+
+    both = values.unionByName(visits).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("kind").isNull())
+    hits = both.mapInPandas(match, f"rid long, keep {kind}, text string, spans array<array<int>>, conts array<string>")
+    each = hits.groupBy("rid").agg(F.first("keep").alias("keep"), F.first("text").alias("text"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("conts")).alias("conts"))
+
+    @F.pandas_udf("array<string>")
+    def cover(text: pd.Series, spans: pd.Series, conts: pd.Series) -> pd.Series:
+        return pd.Series([segment(t, set(c), {(int(a), int(b)): _known_cost(int(n)) for a, b, n in x}, comma_separates) for t, x, c in zip(text, spans, conts)], dtype=object)
+
+    return each.select("keep", cover("text", "spans", "conts").alias("vals"))

@@ -1,7 +1,8 @@
+import json
 import random
 
 import pytest
-from leakgauge.operators.packed import parse, segment, split_packed
+from leakgauge.operators.packed import known_spans, parse, segment, split_packed
 
 CASES = [
     ('["a","b, c"]', ["a", "b, c"]),
@@ -40,7 +41,7 @@ def test_structured(text, want):
     ],
 )
 def test_bare(text, want):
-    assert segment(parse(text)[1][0], set(), set()) == want
+    assert segment(parse(text)[1][0]) == want
 
 
 def test_dictionary_protects_delimiters(spark):
@@ -59,10 +60,15 @@ def test_commas_outside_quotes_separate():
 
     auto = ahocorasick.Automaton()
     for k in ("80,6", "80", "6"):
-        auto.add_word(k, k)
+        auto.add_word(k, (k, 3))
     auto.make_automaton()
-    assert segment('80,6,"363",213', {"80,6", "80", "6"}, set(), auto) == ["80", "6", "363", "213"]
-    assert segment('80,6;"363";213', {"80,6", "80", "6"}, set(), auto) == ["80,6", "363", "213"]
+
+    def cut(s, **how):
+        return segment(s, spans={(a, b): 0.05 for a, b, _ in known_spans(s, auto)}, **how)
+
+    assert cut('80,6,"363",213') == ["80", "6", "363", "213"]
+    assert cut('80,6;"363";213') == ["80,6", "363", "213"]
+    assert cut('80,6,"363",213', comma_separates=False) == ["80,6", "363", "213"]
 
 
 def test_edges(spark):
@@ -83,7 +89,7 @@ def test_round_trip():
     for _ in range(200):
         vals = [rnd.choice(words) for _ in range(rnd.randint(2, 6))]
         assert parse(repr(vals))[1] == vals
-        assert segment("|".join(vals), set(), set()) == vals
+        assert segment("|".join(vals)) == vals
 
 
 def test_segmentation_equals_brute_force():
@@ -107,7 +113,7 @@ def test_segmentation_equals_brute_force():
             for b in range(a, len(ps)):
                 if text[ps[a][0] : ps[b][1]].strip() in known:
                     spans.add((a, b))
-        got, cover = _segment(text, ps, known, spans, {"ardından"}, {";"})
+        got, cover = _segment(text, ps, dict.fromkeys(spans, 0.05), {"ardından"}, {";"})
 
         def price(cuts):
             total, a = 0.0, 0
@@ -123,3 +129,58 @@ def test_segmentation_equals_brute_force():
 
         best = min(price([k + 1 for k, c in enumerate(bits) if c]) for bits in product([0, 1], repeat=len(ps) - 1))
         assert abs(got - best) < 1e-6, (text, known, cover)
+
+
+def values(spark, fields, **how):
+    rows = list(enumerate(fields))
+    by = {k: {} for k, _ in rows}
+    for r in split_packed(spark.createDataFrame(rows, "id int, f string"), "f", **how).collect():
+        by[r.id][r.pos] = r.val
+    return [[v[k] for k in sorted(v)] for v in by.values()]
+
+
+def test_any_number_of_marks_and_levels():
+    many = [f"değer {k}" for k in range(1, 151)]
+    assert parse(" ".join(f"{k}) {v}" for k, v in enumerate(many, 1)))[1] == many
+    letters = [chr(65 + k) for k in range(26)] + ["AA", "AB", "AC", "AD"]
+    assert parse("\n".join(f"{a}) {v}" for a, v in zip(letters, many)))[1] == many[:30]
+    text = '["a, b", "c"]'
+    for _ in range(10):
+        text = json.dumps(text)
+    assert parse(text) == ("list", ["a, b", "c"])
+
+
+def test_more_delimiters():
+    assert segment("• su • göl • ay") == ["su", "göl", "ay"]
+    assert segment("su · göl · ay") == segment("su¦göl¦ay") == segment("su、göl、ay") == ["su", "göl", "ay"]
+
+
+def test_without_the_dictionary_bare_fields_break(spark):
+    """At least a fifth of the bare fields are cut otherwise where no list gives the dictionary."""
+    rnd = random.Random(3)
+    vals = ["Smith; Jones", "a/b; c", "su", "göl", "rock; paper; scissors", "ay", "kuş", "x|y"]
+    lists = [repr([v, rnd.choice(vals)]) for v in vals] * 2
+    picked = [[rnd.choice(vals) for _ in range(rnd.randint(2, 4))] for _ in range(40)]
+    bare = ["; ".join(p) for p in picked]
+    assert values(spark, lists + bare)[len(lists) :] == picked
+    alone = values(spark, bare)
+    assert sum(a != p for a, p in zip(alone, picked)) >= 8
+
+
+def test_comma_rule_is_a_parameter(spark):
+    fields = ["['Paris, Texas', 'Rome']"] * 3 + ["Rome,Paris, Texas"]
+    assert values(spark, fields)[3] == ["Rome", "Paris", "Texas"]
+    assert values(spark, fields, comma_separates=False)[3] == ["Rome", "Paris, Texas"]
+
+
+def test_counts_decide_between_covers(spark):
+    """A value known once yields to two that are known often."""
+    often, once = ["['ab; c', 'ab']"] * 9, ["['ab', 'c']"] * 9
+    assert values(spark, often + ["['c', 'ab']", "ab; c; d"])[-1] == ["ab; c", "d"]
+    assert values(spark, once + ["['ab; c', 'q']", "ab; c; d"])[-1] == ["ab", "c", "d"]
+
+
+def test_hot_shard(spark):
+    """All fields begin with one word: its shard is dealt out, repeated fields are cut alike."""
+    fields = ["['ders; ardından göl', 'su']"] + ["ders; ardından göl; su"] * 500
+    assert all(v == ["ders; ardından göl", "su"] for v in values(spark, fields))
