@@ -55,23 +55,22 @@ def _unescape(s: str) -> str:
             return chr(int(x[1:], 16))
         return _PLAIN.get(x, x)
 
+    if "\\" not in s:
+        return s
     out = _ESCAPE.sub(one, s)
-    if any("\ud800" <= c <= "\udfff" for c in out):  # pairs written as two escapes
+    if _SURROGATE.search(out):  # pairs written as two escapes
         out = out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     return out
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+_REST = {q: re.compile(rf"((?:[^\\{q}]|\\.)*){q}", re.S) for q in "\"'"}
+
+
 def _literal(s: str, at: int) -> tuple[str, int] | None:
     """The quoted literal that begins at ``at`` and the place after it."""
-    q, i = s[at], at + 1
-    while i < len(s):
-        if s[i] == "\\":
-            i += 2
-        elif s[i] == q:
-            return _unescape(s[at + 1 : i]), i + 1
-        else:
-            i += 1
-    return None
+    m = _REST[s[at]].match(s, at + 1)
+    return (_unescape(m[1]), m.end()) if m else None
 
 
 def _quoted_list(s: str) -> list[str] | None:
@@ -119,10 +118,15 @@ def _lettered(s: str) -> list[str] | None:
     return out
 
 
+_OPTION = re.compile(r"\s*\(?([A-Za-z]{1,3})(?:\)|\.|:|-)\s*(.*)$", re.S)
+
+
 def _strip_marks(values: list[str]) -> list[str]:
     """Option letters go where all values carry them in order."""
     if len(values) > 1:
-        got = [re.match(r"\s*\(?([A-Za-z]{1,3})(?:\)|\.|:|-)\s*(.*)$", v, re.S) for v in values]
+        if not _OPTION.match(values[0]):
+            return values
+        got = [_OPTION.match(v) for v in values]
         if all(m and m[1].upper() == c for m, c in zip(got, _labels(False))):
             return [m[2] for m in got]
     return values
@@ -247,7 +251,7 @@ def _segment(s: str, ps: list, spans: dict[tuple[int, int], float], follow: set[
             if a == b - 1 and ps[a][3] or (a, b - 1) in spans:
                 cost = spans.get((a, b - 1), 0.05)
             elif not v:
-                cost = 0.9
+                cost = 0.9 + inner
             else:
                 cost = 1.0 + inner
                 word = v.split()[0]
@@ -269,9 +273,9 @@ def _segment(s: str, ps: list, spans: dict[tuple[int, int], float], follow: set[
     return best[n][0], cover[::-1]
 
 
-def known_spans(s: str, automaton) -> list[tuple[int, int, int]]:
+def known_spans(s: str, automaton, ps: list | None = None) -> list[tuple[int, int, int]]:
     """First piece, last piece and count of the known values that stand in a bare field as whole pieces."""
-    ps = pieces(s)
+    ps = ps or pieces(s)
     starts = {p[1] - len(s[p[0] : p[1]].lstrip()): k for k, p in enumerate(ps)}
     ends = {p[0] + len(s[p[0] : p[1]].rstrip()): k for k, p in enumerate(ps)}
     out = []
@@ -292,7 +296,10 @@ def segment(s: str, follow: set[str] = frozenset(), spans: dict[tuple[int, int],
     ps, spans = pieces(s), spans or {}
     strong = {p[2] for p in ps if p[2]} - {","}
     cover = [(0, len(ps))]
-    if strong:
+    if strong and not follow and all(x == y for x, y in spans):  # nothing speaks for keeping a delimiter
+        at = [0, *(k + 1 for k, p in enumerate(ps) if p[2] in strong), len(ps)]
+        cover = list(zip(at, at[1:]))
+    elif strong:
         _, cover = _segment(s, ps, spans, follow, strong)
     if len(cover) < 2:
         cover = [(k, k + 1) for k in range(len(ps))] if comma_separates and not strong else _segment(s, ps, {x: c for x, c in spans.items() if not comma_separates or not any(ps[k][2] == "," for k in range(*x))}, follow, {","})[1]
@@ -326,7 +333,7 @@ VALUE, BEGINS, CONTINUES = 0, 1, 2
 #: Dictionary rows of a shard, about.
 SHARD_VALUES = 50_000
 #: Partitions that the fields of one shard are dealt out to; each builds the shard's automaton.
-SALTS = 4
+SALTS = 2
 
 
 def split_packed(df: DataFrame, field: str, out_pos: str = "pos", out_val: str = "val", comma_separates: bool = True) -> DataFrame:
@@ -423,7 +430,7 @@ def _by_dictionary(bare: DataFrame, entries: DataFrame, comma_separates: bool) -
         now, auto, follow, starts = None, None, set(), set()
         for b in batches:
             out = []
-            for sh, salt, how, word, n, rid, keep, text in zip(*(b[c] for c in ("shard", "salt", "kind", "word", "n", "rid", "keep", "text"))):
+            for sh, salt, how, word, n, rid, keep, text in zip(*(b[c].tolist() for c in ("shard", "salt", "kind", "word", "n", "rid", "keep", "text"))):
                 if (sh, salt) != now:
                     now, auto, follow, starts, ready = (sh, salt), ahocorasick.Automaton(), set(), set(), False
                 if text is None:
@@ -436,9 +443,10 @@ def _by_dictionary(bare: DataFrame, entries: DataFrame, comma_separates: bool) -
                     ready = True
                     if len(auto):
                         auto.make_automaton()
-                spans = known_spans(text, auto) if len(auto) else []
-                conts = [w for w in {first_word(text, p[0], p[1]) for p in pieces(text)} if w in follow and w not in starts]
-                out.append((rid, keep, text, [list(map(int, x)) for x in spans], conts))
+                ps = pieces(text)
+                spans = known_spans(text, auto, ps) if len(auto) else []
+                conts = [w for w in {first_word(text, p[0], p[1]) for p in ps} if w in follow and w not in starts] if follow else []
+                out.append((int(rid), keep, text, spans, conts))
             if out:
                 yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=object if i else "int64") for i, c in enumerate(("rid", "keep", "text", "spans", "conts"))})
 

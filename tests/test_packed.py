@@ -184,3 +184,19 @@ def test_hot_shard(spark):
     """All fields begin with one word: its shard is dealt out, repeated fields are cut alike."""
     fields = ["['ders; ardından göl', 'su']"] + ["ders; ardından göl; su"] * 500
     assert all(v == ["ders; ardından göl", "su"] for v in values(spark, fields))
+
+
+def test_plain_cuts_are_the_cheapest_covers():
+    """Where no known value spans a delimiter the cover needs no search."""
+    from leakgauge.operators.packed import _segment, pieces
+
+    rnd = random.Random(6)
+    for _ in range(300):
+        text = "".join(rnd.choice(["su", "Ay, kuş", "", "3,5", "x ve y", '"a;b"']) + rnd.choice([";", "; ", "|", "\t"]) for _ in range(rnd.randint(1, 5))).rstrip()
+        ps = pieces(text)
+        strong = {p[2] for p in ps if p[2]} - {","}
+        spans = {(k, k): 0.2 for k in range(len(ps)) if rnd.random() < 0.5}
+        if strong:
+            _, cover = _segment(text, ps, spans, set(), strong)
+            at = [0, *(k + 1 for k, p in enumerate(ps) if p[2] in strong), len(ps)]
+            assert cover == list(zip(at, at[1:])), text
