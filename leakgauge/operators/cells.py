@@ -33,22 +33,53 @@ def discordant(wide: DataFrame, by: list[str], first: str, second: str, prefix:
     return got.withColumn(f"{prefix}p_raw", F.round(stats.mcnemar(F.col(f"{prefix}pos"), F.col(f"{prefix}neg")), 4))
 
 
-def matched_arms(wide: DataFrame, by: list[str], arms: list[str]) -> DataFrame:
-    """Accuracy of each arm over the items that all arms answered, and the three contrasts."""
-    full = wide.where(F.greatest(*[F.col(a).isNull().cast("int") for a in arms]) == 0)
-    aggs = [F.count("*").alias("matched_n")]
-    for a in arms:
-        aggs.append(F.count_if(F.col(a)).alias(f"{a}_correct"))
-    pairs = [(arms[0], x) for x in arms[1:]] + [(arms[1], arms[2])] if len(arms) == 3 else [(arms[0], arms[1])]
-    for x, y in pairs:
-        aggs += [F.count_if(F.col(x) & ~F.col(y)).alias(f"{y}_vs_{x}_pos"), F.count_if(~F.col(x) & F.col(y)).alias(f"{y}_vs_{x}_neg")]
-    got = full.groupBy(*by).agg(*aggs)
+def flip_aggs(ok: Column, follows: Column, correct: Column, base_ok: Column, base_correct: Column) -> list[Column]:
+    """Counts of answered substituted calls, of those that follow the plant, and of discordant pairs with the base arm.
+
+    Flags are never null; a call that wasn't made isn't ok. An unreadable answer is
+    a wrong one, as it was given.
+    """
+    both = ok & base_ok
+    return [
+        F.count_if(ok).alias("n_flip"), F.count_if(ok & follows).alias("flip_follows"),
+        F.count_if(both & base_correct & ~correct).alias("pos"), F.count_if(both & ~base_correct & correct).alias("neg"),
+    ]
+
+
+def flip_columns(counts: DataFrame) -> DataFrame:
+    """Share of calls that follow the plant with its interval, and the exact p of the discordant pairs."""
+    lo, hi = stats.wilson(F.col("flip_follows"), F.col("n_flip"))
+    rate = F.when(F.col("n_flip") > 0, F.round(F.col("flip_follows") / F.col("n_flip"), 4))
+    return counts.withColumns({"flip_follow_rate": rate, "flip_lo": lo, "flip_hi": hi, "n_pairs": F.col("pos") + F.col("neg"), "p_raw": F.round(stats.mcnemar(F.col("pos"), F.col("neg")), 4)})
+
+
+def _contrasts(arms: list[str]) -> list[tuple[str, str]]:
+    return [(arms[0], x) for x in arms[1:]] + [(arms[1], arms[2])] if len(arms) == 3 else [(arms[0], arms[1])]
+
+
+def matched_aggs(arms: list[str]) -> list[Column]:
+    """Counts over the items that all arms answered (none is null)."""
+    full = F.greatest(*[F.col(a).isNull().cast("int") for a in arms]) == 0
+    aggs = [F.count_if(full).alias("matched_n"), *[F.count_if(full & F.col(a)).alias(f"{a}_correct") for a in arms]]
+    for x, y in _contrasts(arms):
+        aggs += [F.count_if(full & F.col(x) & ~F.col(y)).alias(f"{y}_vs_{x}_pos"), F.count_if(full & ~F.col(x) & F.col(y)).alias(f"{y}_vs_{x}_neg")]
+    return aggs
+
+
+def matched_columns(counts: DataFrame, arms: list[str]) -> DataFrame:
+    """Accuracy of each arm with its interval, and the exact p of each contrast; null where no item is matched."""
+    n = F.nullif(F.col("matched_n"), F.lit(0))
     for a in arms:
         lo, hi = stats.wilson(F.col(f"{a}_correct"), F.col("matched_n"))
-        got = got.withColumns({f"{a}_acc": F.round(F.col(f"{a}_correct") / F.col("matched_n"), 4), f"{a}_lo": lo, f"{a}_hi": hi})
-    for x, y in pairs:
-        got = got.withColumn(f"{y}_vs_{x}_p", F.round(stats.mcnemar(F.col(f"{y}_vs_{x}_pos"), F.col(f"{y}_vs_{x}_neg")), 4))
-    return got
+        counts = counts.withColumns({f"{a}_acc": F.round(F.col(f"{a}_correct") / n, 4), f"{a}_lo": lo, f"{a}_hi": hi})
+    for x, y in _contrasts(arms):
+        counts = counts.withColumn(f"{y}_vs_{x}_p", F.when(n.isNotNull(), F.round(stats.mcnemar(F.col(f"{y}_vs_{x}_pos"), F.col(f"{y}_vs_{x}_neg")), 4)))
+    return counts
+
+
+def matched_arms(wide: DataFrame, by: list[str], arms: list[str]) -> DataFrame:
+    """Accuracy of each arm over the items that all arms answered, and the contrasts."""
+    return matched_columns(wide.groupBy(*by).agg(*matched_aggs(arms)).where("matched_n > 0"), arms)
 
 
 def corrected(pvals: DataFrame, family: list[str], p: str = "p_raw") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakgauge.functions.text import letter_of
+from leakgauge.operators.prefix import running_total
 
 
 # The wording of prompts, which logged answers refer to.
@@ -21,7 +22,7 @@ def surface_text(question: Column, body: Column) -> Column:
 
 def choices_body(choices: Column) -> Column:
     """Choices that aren't blank, trimmed, joined by blanks."""
-    return F.array_join(F.filter(F.transform(choices, F.trim), lambda c: F.length(c) > 0), " ")
+    return F.array_join(F.filter(F.transform(choices, lambda c: F.trim(c)), lambda c: F.length(c) > 0), " ")
 
 
 def exam_text(question: Column, choices: Column) -> Column:
@@ -37,6 +38,12 @@ def normal_answer(answer: Column, n_choices: Column) -> tuple[Column, Column]:
     return letter, F.when((idx >= 0) & (idx < n_choices), idx)
 
 
+def true_index(stored: Column, letter: Column, n_choices: Column) -> Column:
+    """The stored index where it is within the choices, else the letter's among A to E, else null."""
+    read = F.upper(F.trim(letter))
+    return F.when((stored >= 0) & (stored < n_choices), stored).when(read.rlike("^[A-E]$"), F.ascii(read) - 65)
+
+
 def index_letter(idx: Column, n_choices: Column) -> Column:
     """Letter of an index, a question mark where it is out of range."""
     return F.when((idx >= 0) & (idx < n_choices), letter_of(idx)).otherwise("?")
@@ -45,7 +52,8 @@ def index_letter(idx: Column, n_choices: Column) -> Column:
 def next_answer(df: DataFrame, benchmark: str, order: str, answer: str, out: str = "planted") -> DataFrame:
     """``df`` with the answer of the next item, the last item taking the first one's.
 
-    One benchmark is one window partition: it is a test set, small by nature.
+    One benchmark is one window partition: it is a test set, small by nature. For
+    tables without such a bound there is ``following``.
     """
     w = Window.partitionBy(benchmark).orderBy(order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -53,6 +61,18 @@ def next_answer(df: DataFrame, benchmark: str, order: str, answer: str, out: str
     return df.withColumn(out, F.when(last, F.first(answer).over(whole)).otherwise(F.lead(answer).over(w)))
 
 
+def following(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """``df`` with the value of the next row by ``order`` (a bigint, unique), the last row taking the first one's.
+
+    Places come from a prefix sum and rows meet their neighbours in a hash join, so
+    no task sees the whole order.
+    """
+    placed = running_total(df, order, F.lit(1), "_place")
+    n = df.count()
+    before = F.when(F.col("_place") == 1, F.lit(n)).otherwise(F.col("_place") - 1)
+    return placed.join(placed.select(before.alias("_place"), F.col(value).alias(out)), "_place").drop("_place")
+
+
 def plant(choices: Column, correct: Column, other: Column) -> tuple[Column, Column]:
     """Choices with the first wrong one replaced, and the letter it got; nulls where degenerate."""
     k = F.array_position(F.transform(choices, lambda c: c != correct), F.lit(True)) - 1

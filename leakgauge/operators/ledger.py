@@ -53,3 +53,22 @@ def checkpoints(calls: DataFrame, order: str, value: Column, every: int) -> Data
     own = calls.withColumn("_val", F.coalesce(value, F.lit(0)).cast("bigint"))
     both = running_totals(own, order, {"calls_logged": F.lit(1).cast("bigint"), "_upto": F.col("_val")})
     return both.where(F.col("calls_logged") % every == 0).select(F.col("calls_logged").cast("bigint"), (F.col("_upto") - F.col("_val")).cast("bigint").alias("accumulated"))
+
+
+def first_kept(cache: DataFrame, key: list[str], order: str, texts: list[str]) -> DataFrame:
+    """What a cache holds for each key: the texts of the first line that has all of them."""
+    has = cache.where(" and ".join(f"`{c}` is not null" for c in texts))
+    got = has.groupBy(*key).agg(F.min_by(F.struct(*texts), F.col(order)).alias("_kept"))
+    return got.select(*key, *[F.col("_kept").getField(c).alias(c) for c in texts])
+
+
+def looked_up(items: DataFrame, cache: DataFrame, key: list[str], order: str, texts: list[str]) -> DataFrame:
+    """``items`` with the cached texts of their key and ``cached``; what isn't there stays null and has to be asked for."""
+    kept = first_kept(cache, key, order, texts).withColumn("cached", F.lit(True))
+    return items.join(kept, key, "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
+
+
+def run_events(events: DataFrame, event: str = "event") -> DataFrame:
+    """One row: runs started and ended, and whether a run was resumed or interrupted."""
+    got = events.agg(F.count_if(F.col(event) == "run_start").alias("run_start"), F.count_if(F.col(event) == "run_end").alias("run_end"))
+    return got.withColumn("resumed_or_interrupted", F.col("run_start") > 1)

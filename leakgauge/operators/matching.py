@@ -16,10 +16,11 @@ from leakgauge.session import spread
 STOP = ("bir", "ve", "ile", "için", "daha", "sonra", "kendi", "olarak", "göre", "ancak", "ayrıca", "bu", "şu", "o", "ne", "hangi", "nasıl", "neden", "ilk", "kez", "ise", "da", "de", "mı", "mi", "mu", "mü", "ki", "ya", "en")
 
 
-@F.pandas_udf(T.StringType())
-def composed(s: pd.Series) -> pd.Series:
-    """NFC, which Spark has no function for."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in "gpq"]))
+def composed(g: pd.Series, p: pd.Series, q: pd.Series) -> pd.DataFrame:
+    """NFC of three texts, which Spark has no function for; null counts as empty."""
+    one = lambda x: "" if x is None else x if x.isascii() else unicodedata.normalize("NFC", x)
+    return pd.DataFrame({"g": g.map(one), "p": p.map(one), "q": q.map(one)})
 
 
 def features(df: DataFrame, gold: str, pred: str, question: str | None = None) -> DataFrame:
@@ -28,9 +29,8 @@ def features(df: DataFrame, gold: str, pred: str, question: str | None = None) -
     Null texts count as empty ones.
     """
     q = F.col(question) if question else F.lit("")
-    texts = spread(df).withColumn("_g", composed(F.coalesce(F.col(gold), F.lit("")))).withColumn("_p", composed(F.coalesce(F.col(pred), F.lit("")))).withColumn("_q", composed(F.coalesce(q, F.lit(""))))
-    for c in ("_g", "_p", "_q"):
-        texts = texts.withColumn(c, tx.qa_normal(F.col(c)))
+    texts = spread(df).withColumn("_c", composed(F.col(gold), F.col(pred), q.cast("string")))
+    texts = texts.withColumns({f"_{c}": tx.qa_normal(F.col(f"_c.{c}")) for c in "gpq"}).drop("_c")
     g, p, qn = F.col("_g"), F.col("_p"), F.col("_q")
     dense = lambda c: tx.char_grams(F.regexp_replace(c, " ", ""), 5)
     step = texts.withColumn("_gg", dense(g)).withColumn("_pg", dense(p)).withColumn("_qg", dense(qn))
@@ -87,6 +87,12 @@ def is_match(level_: Column) -> Column:
     return level_.isin(*MATCHES)
 
 
+def similarity(level_: Column) -> Column:
+    """How alike the texts are, by the level that the cascade ends with over the struct ``_m``."""
+    sure = F.when(level_.isin("letter", "exact", "containment"), 1.0).when(level_.isin("empty", "letter-mismatch", "number-mismatch", "containment-thin"), 0.0)
+    return sure.when(level_ == "paraphrase-distinctive", F.col("_m.dcov")).otherwise(F.greatest("_m.jac", "_m.cov"))
+
+
 def legacy_match(gold: Column, pred: Column) -> Column:
     """Equal or either contains the other after a light clean-up; false where one is empty."""
     g, p = tx.legacy_normal(F.coalesce(gold, F.lit(""))), tx.legacy_normal(F.coalesce(pred, F.lit("")))

@@ -58,6 +58,14 @@ def corpus_meta(corpus: DataFrame, text: str, n: int = NGRAM) -> DataFrame:
     )
 
 
+def capped_keys(corpus: DataFrame, key: str, text: str, cap: int, n: int = NGRAM) -> DataFrame:
+    """Distinct ``gram`` keys among the first ``cap`` grams of the corpus, in key order."""
+    kept = capped_grams(corpus, key, text, cap, n).where("kept > 0").select(key, "kept")
+    rows = corpus.select(key, text).join(kept, key)
+    keys = rows.select(F.explode(F.slice(tx.gram_keys(tx.word_tokens(F.col(text)), n), F.lit(1), F.col("kept").cast("int"))).alias("gram"))
+    return keys.distinct()
+
+
 def capped_grams(corpus: DataFrame, key: str, text: str, cap: int, n: int = NGRAM) -> DataFrame:
     """How many grams of each document the first ``cap`` of the corpus, in key order, take."""
     t = tx.word_tokens(F.coalesce(F.col(text), F.lit("")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,20 +27,14 @@ def twister_sample(spark: SparkSession, population: int, n: int, seed: int = 42)
     return spark.createDataFrame(list(enumerate(drawn)), "item_idx int, row_idx int")
 
 
-def permutations(spark: SparkSession, items: int, options: list[int], seed: int = 42) -> DataFrame:
-    """``item_idx, n_options, perm``: the shuffle of each item's options, seeded by its position."""
-    rows = []
-    for i in range(items):
-        for k in options:
-            order = list(range(k))
-            random.Random(seed + i).shuffle(order)
-            rows.append((i, k, order))
-    return spark.createDataFrame(rows, "item_idx int, n_options int, perm array<int>")
+def coin(position: str, seed: int = 42) -> Column:
+    """Whether the true answer of the item at ``position`` stands first; it depends on seed and position only."""
 
+    @F.pandas_udf("boolean")
+    def toss(i: pd.Series) -> pd.Series:
+        return i.map(lambda k: None if pd.isna(k) else random.Random(seed + int(k)).random() < 0.5)
 
-def coins(spark: SparkSession, items: int, seed: int = 42) -> DataFrame:
-    """``item_idx, truth_first``: on which side the true answer stands."""
-    return spark.createDataFrame([(i, random.Random(seed + i).random() < 0.5) for i in range(items)], "item_idx int, truth_first boolean")
+    return toss(position)
 
 
 def permuted(choices: Column, perm: Column) -> Column:

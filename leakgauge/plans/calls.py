@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakgauge.operators import items as it
 from leakgauge.operators import ledger, sample
 from leakgauge.operators.packed import split_packed
+from leakgauge.operators.prefix import running_total
 from leakgauge.session import table
 
 SENT = "transport_smoke_2026_08_16"
@@ -55,18 +56,18 @@ def recurring_failure(spark: SparkSession, d: str) -> DataFrame:
     return ledger.recurring(calls, ["prompt"], "line_no", ~F.coalesce("ok", F.lit(False))).select("line_no", "failed_before")
 
 
-def usage_flat(spark: SparkSession, d: str) -> DataFrame:
+def _usage() -> list[Column]:
     """Nested usage as flat counts, missing structs as nought."""
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    return table(spark, d, SENT).select(
-        "line_no", zero("usage_api.prompt_tokens").alias("prompt_tokens"), zero("usage_api.completion_tokens").alias("completion_tokens"),
-        zero("usage_api.total_tokens").alias("total_tokens"), zero("usage_api.prompt_tokens_details.cached_tokens").alias("cached_tokens"),
-        zero("usage_api.completion_tokens_details.reasoning_tokens").alias("reasoning_tokens"),
-    )
+    inside = ("prompt_tokens", "completion_tokens", "total_tokens", "prompt_tokens_details.cached_tokens", "completion_tokens_details.reasoning_tokens")
+    return [F.coalesce(F.col(f"usage_api.{c}"), F.lit(0)).cast("bigint").alias(c.rpartition(".")[2]) for c in inside]
+
+
+def usage_flat(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, SENT).select("line_no", *_usage())
 
 
 def spend_by_model(spark: SparkSession, d: str) -> DataFrame:
-    calls = table(spark, d, SENT).select("line_no", "model", "ok", "retries").join(usage_flat(spark, d), "line_no")
+    calls = table(spark, d, SENT).select("model", "ok", "retries", *_usage())
     return calls.groupBy("model").agg(
         F.count("*").alias("calls"), F.count_if("ok").alias("ok"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("fail"),
         F.coalesce(F.sum("retries"), F.lit(0)).cast("bigint").alias("retries"),
@@ -87,10 +88,8 @@ def spend_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def ledger_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Calls and answers by model, by probe and in all, in one pass over the log."""
-    t = table(spark, d, "pilot").select("model", "probe_type", F.col("raw").isNotNull().alias("answered"))
-    t.createOrReplaceTempView("lg_rollup")
-    return spark.sql("""select model, probe_type, count(*) as calls, count_if(answered) as answered
-        from lg_rollup group by grouping sets ((model), (probe_type), ())""")
+    t = table(spark, d, "pilot").select("model", "probe_type", "raw")
+    return t.groupingSets([["model"], ["probe_type"], []], "model", "probe_type").agg(F.count("*").alias("calls"), F.count("raw").alias("answered"))
 
 
 def spend_checkpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -124,12 +123,9 @@ def hash_sample(spark: SparkSession, d: str) -> DataFrame:
 def mt_sample(spark: SparkSession, d: str) -> DataFrame:
     """A seeded sample of the items by their order, the same for every reader."""
     t = table(spark, d, "heldout_items").select("item_id", "bench")
-    n = t.count()
-    # The position of a test item; test sets are small, their ids are not dense.
-    ranked = it.next_answer(t.withColumn("one", F.lit(1)), "one", "item_id", "item_id", "next_id")
-    pos = ranked.select("item_id", "bench", F.col("next_id"))
-    pos = pos.withColumn("row_idx", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("int"))
-    return pos.join(F.broadcast(sample.twister_sample(spark, n, 50)), "row_idx").select("item_idx", "item_id", "bench")
+    # Places in the order come from a prefix sum, so no task sees all items.
+    pos = running_total(t, "item_id", F.lit(1), "place").select("item_id", "bench", (F.col("place") - 1).cast("int").alias("row_idx"))
+    return pos.join(F.broadcast(sample.twister_sample(spark, t.count(), 50)), "row_idx").select("item_idx", "item_id", "bench")
 
 
 def dataset_manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +141,20 @@ def normal_answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "datasets_v2").select("line_no", letter.alias("letter"), idx.cast("int").alias("idx"), it.index_letter(idx, F.lit(5)).alias("shown"))
 
 
+def answer_index(spark: SparkSession, d: str) -> DataFrame:
+    """Index of the true choice: the item's stored one, else the logged letter's."""
+    stored = ledger.last_wins(table(spark, d, "smoke_backtrans_bc").where("truth_idx is not null").select("i", "line_no", "truth_idx"), ["i"], "line_no").select("i", "truth_idx")
+    t = table(spark, d, "m1_smoke").select("line_no", "i", "truth_letter").join(stored, "i", "left")
+    return t.select("line_no", it.true_index(F.col("truth_idx"), F.col("truth_letter"), F.lit(5)).cast("int").alias("idx"))
+
+
+def translation_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The logged items with their cached translation and back-translation, and the English text or an empty one."""
+    items = table(spark, d, "pilot").select("i").distinct()
+    got = ledger.looked_up(items, table(spark, d, "smoke_backtrans_bc").select("i", "line_no", "c_en", "b_backtr"), ["i"], "line_no", ["c_en", "b_backtr"])
+    return got.select("i", "cached", F.col("b_backtr").alias("backtr_tr"), F.col("c_en").alias("en_direct"), F.coalesce("c_en", F.lit("")).alias("gold_en"))
+
+
 def plant_next_answer(spark: SparkSession, d: str) -> DataFrame:
     t = it.next_answer(table(spark, d, "heldout_items").select("bench", "item_id", "cevap"), "bench", "item_id", "cevap")
     return t.where("planted <> cevap").select("bench", "item_id", "planted")
@@ -175,7 +185,7 @@ QUERIES = {
     for f in (
         ledger_dedup_last_wins, task_crossjoin, resume_anti_join, failed_items_semi, recurring_failure, usage_flat, spend_by_model, cost_by_model,
         spend_totals, ledger_rollup, spend_checkpoints, run_event_summary, retryable_errors, message_text, hash_sample, mt_sample, dataset_manifest,
-        normal_answers, plant_next_answer, option_permutation,
+        normal_answers, answer_index, translation_lookup, plant_next_answer, option_permutation,
     )
 }
 
@@ -205,12 +215,18 @@ SQL = {
       date_diff('second', min(t), max(t)) as elapsed_s, coalesce(bool_or(abort), false) as aborted, round(max(accumulated_cost_est_usd), 6) as max_cost from t group by run_id""",
     "retryable_errors": f"select error, regexp_matches(error, '{RETRYABLE}') as retryable, count(*) as n from {SENT} where error is not null group by all",
     "message_text": f"select line_no, coalesce(nullif(trim(content), ''), right(error, 200)) as message from {SENT}",
+    "mt_sample": f"""with s(item_idx, row_idx) as (values {", ".join(f"({k}, {x})" for k, x in enumerate(random.Random(42).sample(range(240), 50)))}),
+      o as (select item_id, bench, row_number() over (order by item_id) - 1 as row_idx from heldout_items) select item_idx, item_id, bench from s join o using (row_idx)""",
     "hash_sample": "select item_id, bench, md5('42|' || item_id) as sample_hash from heldout_items order by sample_hash, item_id limit 50",
     "dataset_manifest": """select regexp_replace(lower(trim(source)), '[^a-z0-9]+', '_', 'g') as source, split_name, count(*) as rows, count(distinct question) as questions,
       count(*) filter (where answer is null) as null_answers from datasets_v2 group by all""",
     "normal_answers": """with n as (select line_no, nullif(upper(trim(answer)), '') as letter from datasets_v2),
       x as (select *, case when length(letter) = 1 and ascii(letter) between 65 and 69 then ascii(letter) - 65 end as idx from n)
       select line_no, letter, idx, case when idx is not null then chr(65 + idx) else '?' end as shown from x""",
+    "answer_index": """with s as (select i, truth_idx from smoke_backtrans_bc where truth_idx is not null qualify row_number() over (partition by i order by line_no desc) = 1)
+      select line_no, case when truth_idx between 0 and 4 then truth_idx when regexp_full_match(upper(trim(truth_letter)), '[A-E]') then ascii(upper(trim(truth_letter))) - 65 end as idx from m1_smoke m left join s on s.i = m.i""",
+    "translation_lookup": """with c as (select i, c_en, b_backtr from smoke_backtrans_bc where c_en is not null and b_backtr is not null qualify row_number() over (partition by i order by line_no) = 1)
+      select p.i, c.i is not null as cached, b_backtr as backtr_tr, c_en as en_direct, coalesce(c_en, '') as gold_en from (select distinct i from pilot) p left join c on c.i = p.i""",
     "plant_next_answer": """with n as (select bench, item_id, cevap, coalesce(lead(cevap) over w, first_value(cevap) over w) as planted from heldout_items window w as (partition by bench order by item_id))
       select bench, item_id, planted from n where planted <> cevap""",
 }

@@ -49,6 +49,14 @@ def m3_gram_cap(spark: SparkSession, d: str) -> DataFrame:
     return overlap.capped_grams(table(spark, d, "documents"), "doc_id", "text", CAP)
 
 
+def m3_overlap_capped(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of the items with the capped build only."""
+    items = _items(spark, d)
+    found = overlap.capped_keys(table(spark, d, "documents"), "doc_id", "text", CAP).withColumn("in_corpus", F.lit(1))
+    counts = overlap.item_grams(items, "item_id", "text").join(found, "gram", "left").groupBy("item_id").agg(F.count("*").alias("grams"), F.count("in_corpus").alias("matched"))
+    return items.select("item_id").join(counts, "item_id", "left").na.fill(0, ["grams", "matched"])
+
+
 def m3_overlap_by_source(spark: SparkSession, d: str) -> DataFrame:
     own = overlap.item_grams(_items(spark, d), "item_id", "text")
     hits = overlap.corpus_hits(table(spark, d, "documents"), "text", own, keep=("doc_id", "source"))
@@ -61,7 +69,7 @@ def item_surface_text(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (m3_overlap_by_item, m3_overlap_summary, m3_dry_run_stats, m3_corpus_meta, m3_gram_cap, m3_overlap_by_source, item_surface_text)
+    for f in (m3_overlap_by_item, m3_overlap_summary, m3_dry_run_stats, m3_corpus_meta, m3_gram_cap, m3_overlap_capped, m3_overlap_by_source, item_surface_text)
 }
 
 _LOWER = "lower(replace({}, 'İ', 'i' || chr(775)))"
@@ -96,6 +104,14 @@ SQL = {
     "m3_gram_cap": f"""with d as (select doc_id, greatest(0, len({_TOKENS.format("coalesce(text, '')")}) - 12)::bigint as grams from documents),
       r as (select *, sum(grams) over (order by doc_id rows unbounded preceding) - grams as before from d)
       select doc_id, grams, least(grams, {CAP} - before)::bigint as kept from r where before < {CAP}""",
+    "m3_overlap_capped": f"""
+with it as (select item_id, {_TOKENS.format(_ITEM)} as t from heldout_items),
+ig as (select distinct item_id, unnest({_GRAMS}) as gram from it where len(t) >= 13),
+dt as (select doc_id, {_TOKENS.format("coalesce(text, '')")} as t from documents),
+n as (select doc_id, t, sum(greatest(0, len(t) - 12)) over (order by doc_id rows unbounded preceding) - greatest(0, len(t) - 12) as before from dt),
+dg as (select before, unnest({_GRAMS}) as gram, unnest(range(1, len(t) - 11)) as pos from n where len(t) >= 13 and before < {CAP}),
+hit as (select distinct gram from dg where before + pos <= {CAP})
+select i.item_id, count(g.gram) as grams, count(h.gram) as matched from it i left join ig g on g.item_id = i.item_id left join hit h on h.gram = g.gram group by i.item_id""",
     "m3_overlap_by_source": _WITH
     + "select source, count(distinct doc_id) as docs, count(distinct gram) as distinct_grams from dg where gram in (select gram from ig) group by source",
     "item_surface_text": f"select item_id, {_ITEM} as text from heldout_items",

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakgauge.functions import letters, lists
+from leakgauge.functions import letters, lists, stats
 from leakgauge.functions.text import letter_of
 from leakgauge.operators import cells, ledger, sample
 from leakgauge.operators import items as it
 from leakgauge.operators.packed import split_packed
-from leakgauge.session import table
+from leakgauge.session import cut, table
 
 SENT = "transport_smoke_2026_08_16"
 
@@ -31,19 +33,25 @@ def exam_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def planted_prompts(spark: SparkSession, d: str) -> DataFrame:
     """The first wrong choice replaced by the next item's answer; degenerate items left out."""
-    t = _exam(spark, d).where("truth_idx between 0 and size(choices) - 1").withColumn("correct", F.get("choices", F.col("truth_idx"))).withColumn("exam", F.lit("all"))
-    t = it.next_answer(t, "exam", "i", "correct", "other")
+    t = _exam(spark, d).where("truth_idx between 0 and size(choices) - 1").withColumn("correct", F.get("choices", F.col("truth_idx")))
+    t = it.following(cut(t), "i", "correct", "other")
     choices, letter = it.plant(F.col("choices"), F.col("correct"), F.col("other"))
     t = t.withColumns({"planted_choices": choices, "planted_letter": letter}).where("planted_letter is not null")
     return t.select("i", "planted_letter", "other", it.exam_text(F.col("soru"), F.col("planted_choices")).alias("prompt"))
 
 
+def recall_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The opening words of each held-out question, for a model to go on from, and what follows."""
+    words = F.split(F.trim("soru"), r"\s+")
+    half = F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))
+    t = table(spark, d, "heldout_items").where(F.length(F.trim("soru")) > 0).select("item_id", words.alias("w"), half.alias("k"))
+    return t.select("item_id", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("opening"), F.array_join(F.slice("w", F.col("k") + 1, F.greatest(F.size("w") - F.col("k"), F.lit(0))), " ").alias("rest"))
+
+
 def flip_prompts(spark: SparkSession, d: str) -> DataFrame:
     """True against edited answer (here the next item's), sides by a seeded coin."""
     t = it.next_answer(table(spark, d, "heldout_items").select("bench", "item_id", "soru", "cevap"), "bench", "item_id", "cevap", "edited")
-    n = t.agg(F.max("item_id")).first()[0] or 0  # ids of a test set, as many as it has items
-    c = F.broadcast(sample.coins(spark, int(n) + 1).withColumnRenamed("item_idx", "item_id"))
-    got = t.join(c, "item_id")
+    got = t.withColumn("truth_first", sample.coin("item_id"))
     prompt = it.flip_prompt(F.col("soru"), F.col("cevap"), F.col("edited"), F.col("truth_first"))
     return got.select("item_id", F.when(F.col("truth_first"), "A").otherwise("B").alias("truth_letter"), prompt.alias("prompt")).where("prompt is not null")
 
@@ -94,10 +102,24 @@ def answers_wide(spark: SparkSession, d: str) -> DataFrame:
     return cells.arms_wide(last, ["model"], ["i"], "probe_type", ["blackbox", "choice_sub"], "letter")
 
 
-QUERIES = {f.__name__: f for f in (exam_prompts, planted_prompts, flip_prompts, call_records, m1_summary, mismatch_sample, naive_lists, cells_json, answers_wide)}
+QUERIES = {f.__name__: f for f in (exam_prompts, planted_prompts, recall_prompts, flip_prompts, call_records, m1_summary, mismatch_sample, naive_lists, cells_json, answers_wide)}
 
 _P = letters.parse_letter_sql("raw", "pilot")
+_LO, _HI = stats.wilson_sql("verbatim_hits", "n")
+_COINS = ", ".join(f"({k}, {random.Random(42 + k).random() < 0.5})" for k in range(2_000))
 SQL = {
+    # The coins of the first ids as a table; the test items' ids are below that.
+    "flip_prompts": f"""with c(item_id, truth_first) as (values {_COINS}),
+      n as (select item_id, soru, trim(cevap) as t, trim(coalesce(lead(cevap) over w, first_value(cevap) over w)) as e from heldout_items window w as (partition by bench order by item_id))
+      select item_id, case when truth_first then 'A' else 'B' end as truth_letter, 'Soru: ' || soru || chr(10) || chr(10) || 'Hangisi doğru cevaptır?' || chr(10) || 'A) ' || case when truth_first then t else e end
+      || chr(10) || 'B) ' || case when truth_first then e else t end || chr(10) || chr(10) || 'Cevap (tek harf A/B):' as prompt from n join c using (item_id) where length(t) > 0 and length(e) > 0 and t <> e""",
+    "recall_prompts": """with w as (select item_id, regexp_split_to_array(trim(soru), '\\s+') as w from heldout_items where length(trim(soru)) > 0), h as (select *, greatest(1, len(w) // 2) as k from w)
+      select item_id, array_to_string(w[1:k], ' ') as opening, array_to_string(w[k + 1:], ' ') as rest from h""",
+    "cells_json": """with l as (select * from m1_smoke qualify row_number() over (partition by i, model, seed order by line_no desc) = 1),
+      c as (select model, count(*) as n, count(*) filter (where coalesce(verbatim_hit, false)) as verbatim_hits, round(avg(coalesce(overlap8, 0)), 4) as mean_overlap8, round(stddev_pop(coalesce(overlap8, 0)), 4) as overlap8_sd
+        from l where raw is not null group by model),
+      s as (select model, n, verbatim_hits, round(verbatim_hits::double / n, 4) as verbatim_rate, """ + _LO + " as ci_lo, " + _HI + """ as ci_hi, mean_overlap8, overlap8_sd from c)
+      select model as cell, json_object('n', n, 'verbatim_hits', verbatim_hits, 'verbatim_rate', verbatim_rate, 'ci_lo', ci_lo, 'ci_hi', ci_hi, 'mean_overlap8', mean_overlap8, 'overlap8_sd', overlap8_sd)::varchar as stats from s""",
     "call_records": "select line_no, concat_ws('|', 'exam', model, probe_type, i) as item_key, split_part(probe_type, '_', 1) as probe_family, raw[1:400] as raw, raw is not null as ok from pilot",
     "m1_summary": """select count(*) as calls, count(raw) as answered, coalesce(sum(prompt_tokens), 0)::bigint as prompt_tokens, coalesce(sum(cached_tokens), 0)::bigint as cached_tokens,
       coalesce(sum(completion_tokens), 0)::bigint as completion_tokens, round(sum(cost_usd), 6) as cost_usd, count(*) filter (where verbatim_hit) as hits, round(avg(overlap8), 4) as mean_overlap8 from m1_smoke""",

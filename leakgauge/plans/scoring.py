@@ -58,6 +58,26 @@ def qa_legacy_containment(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "m1_smoke").select("line_no", matching.legacy_match(F.col("truth_text"), F.col("raw")).alias("match"))
 
 
+def robust_scores(spark: SparkSession, d: str) -> DataFrame:
+    """All verdicts on an answer: strict match with level and similarity, lenient match, legacy containment."""
+    rows = matching.features(table(spark, d, "m1_smoke").select("line_no", "truth_text", "raw", "bolum"), "truth_text", "raw", "bolum")
+    rows = rows.withColumns({"level": matching.level(), "_loose": matching.level(False)})
+    return rows.select(
+        "line_no", matching.is_match(F.col("level")).alias("strict_match"), "level", F.round(matching.similarity(F.col("level")), 3).alias("sim"),
+        matching.is_match(F.col("_loose")).alias("lenient_match"), matching.legacy_match(F.col("truth_text"), F.col("raw")).alias("legacy_match"),
+    )
+
+
+def qa_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Strict and lenient accuracy of each model over its answered calls, with the strict one's interval."""
+    t = table(spark, d, "m1_smoke").where("raw is not null").select("model", "truth_text", "raw", "bolum")
+    t = matching.features(t, "truth_text", "raw", "bolum").select("model", matching.is_match(matching.level()).alias("s"), matching.is_match(matching.level(False)).alias("l"))
+    n = t.groupBy("model").agg(F.count("*").alias("n"), F.count_if("s").alias("strict"), F.count_if("l").alias("lenient"))
+    lo, hi = stats.wilson(F.col("strict"), F.col("n"))
+    share = lambda c: F.round(F.col(c) / F.col("n"), 4)
+    return n.withColumns({"strict_acc": share("strict"), "lenient_acc": share("lenient"), "ci_lo": lo, "ci_hi": hi})
+
+
 def matcher_confusion(spark: SparkSession, d: str) -> DataFrame:
     """The strict matcher against the logged verbatim hits, by level as well."""
     t = _pairs(spark, d).select(F.coalesce("verbatim_hit", F.lit(False)).alias("label"), matching.level().alias("level"))
@@ -85,7 +105,7 @@ def wilson_ci(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "m1_overlap8": m1_overlap8, "m1_cell": m1_cell, "letter_distribution": letter_distribution, "qa_numbers": qa_numbers,
     "qa_jaccard_cov": qa_jaccard_cov, "qa_matcher_strict": partial(qa_matcher, strict=True), "qa_matcher_lenient": partial(qa_matcher, strict=False),
-    "qa_legacy_containment": qa_legacy_containment, "matcher_confusion": matcher_confusion, "matcher_levels": matcher_levels, "wilson_ci": wilson_ci,
+    "qa_legacy_containment": qa_legacy_containment, "robust_scores": robust_scores, "qa_accuracy": qa_accuracy, "matcher_confusion": matcher_confusion, "matcher_levels": matcher_levels, "wilson_ci": wilson_ci,
 } | {f"parse_letter_{m}": partial(parse_letter, mode=m) for m in letters.MODES}
 
 _LOWER = "lower(replace({}, 'İ', 'i' || chr(775)))"
@@ -134,6 +154,7 @@ _LENIENT = (
     + """ when length(g) > 120 and not numeric_gold and (dcov >= 0.50 or jac >= 0.60) then 'paraphrase-distinctive'
   when (case when numeric_gold then jac >= 0.50 or cov >= 0.60 else jac >= 0.60 or cov >= 0.75 end) then 'paraphrase' else 'none' end"""
 )
+_MATCHES = "('letter', 'exact', 'containment', 'paraphrase-distinctive', 'paraphrase')"
 _IS = "level in ('letter', 'exact', 'containment', 'paraphrase-distinctive', 'paraphrase')"
 _LEG = "regexp_replace(regexp_replace(" + _LOWER.format("coalesce({}, '')") + ", '" + _WS.replace("{", "{{").replace("}", "}}") + "', ' ', 'g'), '^[ .,;:!?\"'']+|[ .,;:!?\"'']+$', '', 'g')"
 SQL = {
@@ -156,6 +177,16 @@ SQL = {
     "qa_matcher_lenient": _FEATURES + f", l as (select line_no, {_LENIENT} as level from f) select line_no, level, {_IS} as match from l",
     "qa_legacy_containment": f"""with n as (select line_no, {_LEG.format("truth_text")} as g, {_LEG.format("raw")} as p from m1_smoke)
       select line_no, g <> '' and p <> '' and (contains(p, g) or contains(g, p)) as match from n""",
+    "robust_scores": _FEATURES
+    + f""", s as (select *, {_STRICT} as level, {_LENIENT} as loose from f),
+      g as (select line_no, {_LEG.format("truth_text")} as lg, {_LEG.format("raw")} as lp from m1_smoke)
+      select s.line_no, level in {_MATCHES} as strict_match, level, round(case when level in ('letter', 'exact', 'containment') then 1.0
+        when level in ('empty', 'letter-mismatch', 'number-mismatch', 'containment-thin') then 0.0 when level = 'paraphrase-distinctive' then dcov else greatest(jac, cov) end, 3) as sim,
+        loose in {_MATCHES} as lenient_match, lg <> '' and lp <> '' and (contains(lp, lg) or contains(lg, lp)) as legacy_match from s join g on g.line_no = s.line_no""",
+    "qa_accuracy": _FEATURES
+    + f""", s as (select m.model, {_STRICT} as a, {_LENIENT} as b from f join m1_smoke m on m.line_no = f.line_no where m.raw is not null),
+      c as (select model, count(*) as n, count(*) filter (where a in {_MATCHES}) as strict, count(*) filter (where b in {_MATCHES}) as lenient from s group by model)
+      select *, round(strict::double / n, 4) as strict_acc, round(lenient::double / n, 4) as lenient_acc, {stats.wilson_sql("strict", "n")[0]} as ci_lo, {stats.wilson_sql("strict", "n")[1]} as ci_hi from c""",
     "matcher_confusion": _FEATURES
     + f""", l as (select label, {_STRICT} as level from f), m as (select label, {_IS} as m from l),
       c as (select count(*) filter (where m and label) as tp, count(*) filter (where m and not label) as fp,

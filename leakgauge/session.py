@@ -50,6 +50,27 @@ def spread(df: DataFrame) -> DataFrame:
     large enough to give every core its own split is left as it is, so nothing is
     shuffled at scale; only a few files too small to split are dealt out.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files:
+        return df  # no scan below, its partitions are those of the step before
+    # Splits of a scan are some megabytes each; only a few small files give fewer than cores.
+    room = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if len(files) >= cores or _size(spark, files) >= cores * room:
+        return df
+    return df.repartition(cores)
+
+
+def _bytes(text: str) -> int:
+    """Bytes of a setting such as 128MB or 134217728b."""
+    digits = "".join(c for c in text if c.isdigit())
+    unit = text[len(digits) :].strip().lower()[:1]
+    return int(digits) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(unit, 1)
+
+
+def _size(spark: SparkSession, files: list[str]) -> int:
+    """Bytes of fewer files than there are cores."""
+    conf = spark._jsc.hadoopConfiguration()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return sum(path(f).getFileSystem(conf).getFileStatus(path(f)).getLen() for f in files)

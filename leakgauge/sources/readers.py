@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import zipfile
+from xml.etree import ElementTree
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,11 +71,14 @@ def sample_files(spark: SparkSession, path: str, n: int, seed: int = 42) -> Data
     return hash_sample(names, "article", n, seed).select("article")
 
 
-def encyclopedia(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def encyclopedia(spark: SparkSession, path: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(pages, meta)`` of a MediaWiki dump (plain, gz or bz2; bz2 is split).
 
     Pages of namespace 0 that have text and are no redirect; the counts of all
-    pages, redirects and skipped ones are one row of ``meta``.
+    pages, redirects and skipped ones are one row of ``meta``. ``most`` keeps the
+    first so many pages by id, as a dump has them; ``truncated`` tells whether that
+    left any out. Grams are counted and capped by ``overlap.corpus_meta`` and
+    ``overlap.capped_keys``.
     """
     pages = spark.read.format("xml").option("rowTag", "page").schema("title string, ns int, id bigint, redirect struct<_title string>, revision struct<text struct<_VALUE string>>").load(path)
     text = F.coalesce(F.col("revision.text._VALUE"), F.lit(""))
@@ -80,7 +87,9 @@ def encyclopedia(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     meta = rows.agg(
         F.count("*").alias("pages"), F.count_if(good).alias("kept"), F.count_if(~good & F.col("moved")).alias("redirects"), F.count_if(~good & ~F.col("moved")).alias("skipped"), F.coalesce(F.sum(F.when(good, F.length("text"))), F.lit(0)).alias("chars")
     )
-    return rows.where(good).select("id", "title", "text"), meta
+    meta = meta.withColumn("truncated", F.lit(False) if most is None else F.col("kept") > most)
+    kept = rows.where(good).select("id", "title", "text")
+    return kept if most is None else kept.orderBy("id").limit(most), meta
 
 
 def capped_corpus(df: DataFrame, text: str, cap: int) -> DataFrame:
@@ -88,13 +97,34 @@ def capped_corpus(df: DataFrame, text: str, cap: int) -> DataFrame:
     return df.limit(cap).where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)
 
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheet_rows(path: str) -> list[dict[str, str]]:
+    """Cells of the first sheet of a workbook, a dict by column letters for each row."""
+    with zipfile.ZipFile(path) as z:
+        names = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        sheet = ElementTree.fromstring(z.read(names[0]))
+    out = []
+    for row in sheet.iter(f"{_SHEET}row"):
+        cells = {}
+        for c in row.iter(f"{_SHEET}c"):
+            text = "".join(t.text or "" for t in c.iter(f"{_SHEET}t")) if c.get("t") == "inlineStr" else c.findtext(f"{_SHEET}v")
+            if text is not None:
+                cells[re.sub(r"\d", "", c.get("r", ""))] = shared[int(text)] if c.get("t") == "s" else text
+        out.append(cells)
+    return out
+
+
 def xlsx(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A sheet of a workbook; needs pandas' optional reader. Workbooks are small by format."""
-    import pandas as pd
+    """The first sheet of a workbook whose first row names the columns; cells as text, empty ones null.
 
-    try:
-        got = pd.read_excel(path, dtype=str)
-    except ImportError as e:
-        raise RuntimeError("reading a workbook needs the openpyxl package") from e
+    A workbook is small by format, so it is read as one file.
+    """
+    head, *rows = _sheet_rows(path)
+    at = {name: column for column, name in head.items()}
     names = [f.name for f in schemas.struct(schema).fields]
-    return spark.createDataFrame(got[names].astype(object).where(got.notna(), None), schema)
+    return spark.createDataFrame([tuple(r.get(at[n]) for n in names) for r in rows], schema)

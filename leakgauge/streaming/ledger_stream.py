@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from leakgauge.operators.ledger import last_wins
-from leakgauge.session import shared_dir
+from leakgauge.session import cut, shared_dir
 
 
 def log_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -32,33 +33,57 @@ def windowed_calls(log: DataFrame, ts: str, by: list[str], width: str = "1 hour"
 
 
 def run_to_end(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return what it holds."""
+    """Run a stream over all that is there now and return what it wrote into the shared folder.
+
+    In ``complete`` mode that is the last batch's whole result, else the rows of all
+    batches. Nothing passes through the driver; a batch that runs again writes the same.
+    """
     spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{shared_dir(spark)}/stream-{name}-{os.urandom(6).hex()}").start()
+    at = f"{shared_dir(spark)}/stream-{name}-{os.urandom(6).hex()}"
+    last = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+        last[:] = [epoch]
+
+    q = df.writeStream.outputMode(mode).foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{at}/state").start()
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.parquet(f"{at}/out/epoch={last[0]}" if mode == "complete" else f"{at}/out").drop("epoch")
 
 
-def keep_last(log: DataFrame, key: list[str], order: str, target: str, checkpoint: str):
+def keep_last(log: DataFrame, key: list[str], order: str, target: str, checkpoint: str, buckets: int = 256):
     """Keep the latest line of each key in parquet folder ``target``, batch by batch.
 
-    Each batch is folded first, then merged with what is there into a new version;
-    a batch that runs again gives the same version.
+    The folder is partitioned by ``bucket``, a hash of the key. Each batch is folded
+    first, then merged with the buckets it touches, which alone are written anew; a
+    batch that runs again gives the same lines.
     """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    kind = StructType([*log.schema.fields, StructField("bucket", IntegerType())])
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        now = last_wins(batch, key, order)
-        before = f"{target}/v={epoch - 1}"
-        if epoch > 0:
-            now = last_wins(spark.read.parquet(before).unionByName(now), key, order)
-        now.write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        now = cut(last_wins(batch, key, order).withColumn("bucket", bucket))
+        touched = [r.bucket for r in now.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        there = spark.read.schema(kind).parquet(target) if _exists(spark, target) else spark.createDataFrame([], kind)
+        both = there.where(F.col("bucket").isin(touched)).unionByName(now)
+        new = last_wins(both.drop("bucket"), key, order).withColumn("bucket", bucket)
+        cut(new).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def running_spend(log: DataFrame, by: str, cost: str, cap: float) -> DataFrame:
     """Running cost of each key and whether it passed ``cap``, with state kept per key."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout

@@ -1,6 +1,7 @@
 import itertools
 import json
 import math
+import zipfile
 
 import duckdb
 import pytest
@@ -149,7 +150,9 @@ def test_sources(spark, tmp_path):
     )
     pages, meta = readers.encyclopedia(spark, str(w))
     assert [r.title for r in pages.collect()] == ["A"]
-    assert tuple(meta.first())[:4] == (3, 1, 1, 1)
+    assert tuple(meta.first())[:4] == (3, 1, 1, 1) and not meta.first().truncated
+    some, told = readers.encyclopedia(spark, str(w), most=0)
+    assert some.count() == 0 and told.first().truncated
 
     class Echo:
         def answer(self, model, prompt):
@@ -173,9 +176,13 @@ def test_streaming(spark, tmp_path):
     log = ls.log_stream(spark, str(tmp_path / "log"), df.schema)
     q = ls.keep_last(log, ["model"], "line_no", str(tmp_path / "kept"), str(tmp_path / "chk"))
     q.awaitTermination()
-    assert sorted(r.line_no for r in spark.read.parquet(str(tmp_path / "kept/v=0")).collect()) == [2, 3]
+    assert sorted(r.line_no for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == [2, 3]
+    spark.createDataFrame([(4, "b", 1.0), (5, "c", None)], "line_no bigint, model string, cost double").write.mode("append").parquet(str(tmp_path / "log"))
+    for _ in range(2):  # the second run finds nothing new
+        ls.keep_last(log, ["model"], "line_no", str(tmp_path / "kept"), str(tmp_path / "chk")).awaitTermination()
+        assert sorted(r.line_no for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == [2, 4, 5]
     spent = ls.run_to_end(ls.running_spend(log, "model", "cost", 1.0), "lg_spent", "update")
-    assert {r.model: (r.calls, r.over_cap) for r in spent.collect()} == {"a": (2, True), "b": (1, False)}
+    assert {r.model: (r.calls, r.over_cap) for r in spent.collect()} == {"a": (2, True), "b": (2, False), "c": (1, False)}
 
 
 SF = "/root/testdata/sf0.001"
@@ -205,3 +212,95 @@ def test_queries_match_sql(spark):
         assert sorted(names) == cols, name
         want = sorted([[_norm(r[names.index(c)]) for c in cols] for r in cur.fetchall()], key=str)
         assert got == want, name
+
+
+def test_flip_cell(spark):
+    """Follows of the plant among ok calls; an unreadable answer is a wrong one."""
+    rows = [(True, True, False, True, True), (True, False, True, True, True), (True, False, False, True, True), (True, False, True, True, False), (False, False, False, True, True), (True, True, False, False, False)]
+    df = spark.createDataFrame([("m", *r) for r in rows], "model string, ok boolean, f boolean, c boolean, bo boolean, bc boolean")
+    got = cells.flip_columns(df.groupBy("model").agg(*cells.flip_aggs(*[F.col(x) for x in ("ok", "f", "c", "bo", "bc")]))).first()
+    assert (got.n_flip, got.flip_follows, got.flip_follow_rate, got.pos, got.neg, got.n_pairs, got.p_raw) == (5, 2, 0.4, 2, 1, 3, 1.0)
+    none = cells.flip_columns(df.where("not ok").groupBy("model").agg(*cells.flip_aggs(*[F.col(x) for x in ("ok", "f", "c", "bo", "bc")]))).first()
+    assert (none.n_flip, none.flip_follow_rate, none.p_raw) == (0, None, 1.0)
+
+
+def test_matched_arms(spark):
+    rows = [("m", True, True, False), ("m", False, True, True), ("m", None, True, True), ("k", None, None, True)]
+    got = cells.matched_arms(spark.createDataFrame(rows, "model string, A boolean, B boolean, C boolean"), ["model"], ["A", "B", "C"]).collect()
+    assert [(r.model, r.matched_n, r.A_acc, r.B_acc, r.C_acc, r.B_vs_A_pos, r.B_vs_A_neg) for r in got] == [("m", 2, 0.5, 1.0, 0.5, 0, 1)]
+
+
+def test_following_equals_the_window(spark):
+    ids = [5, 9, 200_000, 70_000, 1, 131_072]
+    df = spark.createDataFrame([(k, f"v{k}") for k in ids], "id bigint, v string")
+    got = {r.id: r.nxt for r in it.following(df, "id", "v", "nxt").collect()}
+    order = sorted(ids)
+    assert got == {a: f"v{b}" for a, b in zip(order, order[1:] + order[:1])}
+    assert it.following(df.limit(0), "id", "v", "nxt").count() == 0
+
+
+def test_true_index(spark):
+    df = spark.createDataFrame([(2, "A"), (7, " b"), (None, "E"), (-1, "F"), (None, None), (0, None)], "s int, l string")
+    assert [r[0] for r in df.select(it.true_index(F.col("s"), F.col("l"), F.lit(5))).collect()] == [2, 1, 4, None, None, 0]
+    blank = spark.createDataFrame([([" a ", "", "b", None],)], "c array<string>").select(it.choices_body(F.col("c"))).first()[0]
+    assert blank == "a b"
+
+
+def test_lookups_and_run_events(spark):
+    cache = spark.createDataFrame([(1, 5, "old", "x"), (1, 9, "new", "y"), (2, 7, None, "z")], "i int, line_no int, en string, tr string")
+    got = {r.i: (r.en, r.tr, r.cached) for r in ledger.looked_up(spark.createDataFrame([(1,), (2,), (3,)], "i int"), cache, ["i"], "line_no", ["en", "tr"]).collect()}
+    assert got == {1: ("old", "x", True), 2: (None, None, False), 3: (None, None, False)}
+    events = spark.createDataFrame([("run_start",), ("run_start",), ("run_end",), (None,)], "event string")
+    assert tuple(ledger.run_events(events).first()) == (2, 1, True)
+    assert tuple(ledger.run_events(events.limit(0)).first()) == (0, 0, False)
+
+
+def test_list_scalars(spark):
+    df = spark.createDataFrame([("true",), ("null",), ("[1, 2.5]",), ("('a',)",), ("{'a': 1}",), ("[a, 'b, c']",), ("['', x]",), ("[]",)], "s string")
+    got = [r[0] for r in df.select(lists.tolerant_list("s")).collect()]
+    assert got == [["True"], ["None"], ["1", "2.5"], ["a"], ["{'a': 1}"], ["a", "b", "c"], ["", "x"], []]
+    assert [r[0] for r in df.select(lists.literal_list("s")).collect()][0] == ["true"]
+
+
+def test_coin_depends_on_the_position_only(spark):
+    import random
+
+    got = {r.k: r.c for r in spark.createDataFrame([(0,), (7,), (10**10,), (None,)], "k bigint").withColumn("c", sample.coin("k")).collect()}
+    assert got == {k: random.Random(42 + k).random() < 0.5 for k in (0, 7, 10**10)} | {None: None}
+
+
+def test_more_sources(spark, tmp_path):
+    from leakgauge.sources import readers, sinks
+
+    spark.createDataFrame([(1, "a")], "id int, x string").write.parquet(str(tmp_path / "dev"))
+    spark.createDataFrame([(2, "b", 0.5)], "id int, x string, more double").write.parquet(str(tmp_path / "test"))
+    both = readers.parquet_splits(spark, [str(tmp_path / "dev"), str(tmp_path / "test")])
+    assert sorted((r.id, r.more) for r in both.collect()) == [(1, None), (2, 0.5)]
+
+    df = spark.createDataFrame([("x", ["a", "b"]), ("x", ["c"]), ("y", [])], "bench string, choices array<string>")
+    manifest = sinks.csv_with_manifest(df, str(tmp_path / "csv"), "bench")
+    assert {r.bench: r["items"] for r in manifest.collect()} == {"x": 2, "y": 1}
+    assert {json.loads(r.choices)[0] for r in spark.read.csv(str(tmp_path / "csv/bench=x"), header=True, escape='"').collect()} == {"a", "c"}
+
+    docs = spark.createDataFrame([("a",), (" ",), (None,), ("b",)], "t string").coalesce(1)
+    assert [r.t for r in readers.capped_corpus(docs, "t", 3).collect()] == ["a"]
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "book.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Question</t></si><si><t>Answer</t></si><si><r><t>ne</t></r><r><t>den?</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2" t="s"><v>2</v></c><c r="B2"><v>4.5</v></c></row>'
+                   '<row><c r="B3" t="inlineStr"><is><t>yok</t></is></c></row></sheetData></worksheet>')
+    book = readers.xlsx(spark, str(tmp_path / "book.xlsx"), "Answer string, Question string")
+    assert [tuple(r) for r in book.collect()] == [("4.5", "neden?"), ("yok", None)]
+
+
+def test_spread_looks_at_the_scan_only(spark, tmp_path):
+    from leakgauge.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    small = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(small.where("id > 3")).rdd.getNumPartitions() >= cores
+    spark.range(100).repartition(2 * cores).write.parquet(str(tmp_path / "many"))
+    many = spread(spark.read.parquet(str(tmp_path / "many")))
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
+    assert spread(spark.createDataFrame([(1,)], "a int")).count() == 1
