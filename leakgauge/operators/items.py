@@ -11,6 +11,8 @@ from leakgauge.operators.prefix import running_total
 
 # The wording of prompts, which logged answers refer to.
 QUESTION, OPTIONS = "Soru: ", "\n\nSecenekler:\n"
+RECALL_ANSWER = "\n\nBu sorunun doğru cevabını, kaynak metindeki haliyle AYNEN (birebir) yazın. Sadece cevap metnini verin:"
+RECALL_CHOICE = "\n\nCevap (ONLY the letter of the correct choice, e.g. A) followed by the FULL EXACT text of that choice, reproduced verbatim as it appears above:"
 WHICH, ANSWER = "\n\nHangisi doğru cevaptır?\nA) ", "\n\nCevap (tek harf A/B):"
 
 
@@ -31,6 +33,11 @@ def exam_text(question: Column, choices: Column) -> Column:
     return F.concat(F.lit(QUESTION), question, F.lit(OPTIONS), F.array_join(lines, "\n"))
 
 
+def recall_text(question: Column, choices: Column | None = None) -> Column:
+    """A prompt that asks for the answer's exact text, of the lettered options where there are some."""
+    return F.concat(F.lit(QUESTION), question, F.lit(RECALL_ANSWER)) if choices is None else F.concat(exam_text(question, choices), F.lit(RECALL_CHOICE))
+
+
 def normal_answer(answer: Column, n_choices: Column) -> tuple[Column, Column]:
     """Letter (trimmed, upper case) and its index; the index is null out of range."""
     letter = F.nullif(F.upper(F.trim(answer)), F.lit(""))

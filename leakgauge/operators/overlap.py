@@ -66,8 +66,25 @@ def capped_keys(corpus: DataFrame, key: str, text: str, cap: int, n: int = NGRAM
     return keys.distinct()
 
 
+def _reach(corpus: DataFrame, key: str, text: str, cap: int, n: int, first: int = 4_096) -> int | None:
+    """A key below which the corpus has ``cap`` grams, or None. Ranges grow fourfold, so little is read twice."""
+    low, high = corpus.agg(F.min(key), F.max(key)).first()
+    span = first
+    while low is not None and low + span <= high:
+        grams = corpus.where(F.col(key) < low + span).agg(F.sum(tx.n_grams(tx.word_tokens(F.coalesce(F.col(text), F.lit(""))), n))).first()[0]
+        if (grams or 0) >= cap:
+            return low + span
+        span *= 4
+    return None
+
+
 def capped_grams(corpus: DataFrame, key: str, text: str, cap: int, n: int = NGRAM) -> DataFrame:
-    """How many grams of each document the first ``cap`` of the corpus, in key order, take."""
+    """How many grams of each document the first ``cap`` of the corpus, in key order, take.
+
+    Only the documents up to the one that reaches the cap are read as words.
+    """
+    end = _reach(corpus, key, text, cap, n)
+    corpus = corpus if end is None else corpus.where(F.col(key) < end)
     t = tx.word_tokens(F.coalesce(F.col(text), F.lit("")))
     counts = corpus.select(key, tx.n_grams(t, n).cast("bigint").alias("grams"))
     run = running_total(counts, key, F.col("grams"), "_upto")

@@ -28,10 +28,6 @@ _QUOTED = r'(?s)("(?:[^"]|"")*")|[\r\n]'
 Check = Callable[[pa.Array], pa.Array]
 
 
-def _matches(pattern: str) -> Check:
-    return lambda a: pc.match_substring_regex(a, pattern)
-
-
 def is_digits(a: pa.Array) -> pa.Array:
     return pc.match_substring_regex(a, r"^[0-9]+$")
 
@@ -148,6 +144,23 @@ def judge(records: pa.Array, layout: Layout) -> tuple[list[str | None], list[pa.
     return reason.tolist(), fields
 
 
+#: Bytes of records that are read at a time; one that is longer is read alone.
+BLOCK = 16 << 20
+
+
+def slices(batch: pa.RecordBatch, at: int, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of at most so many bytes in column ``at``; no record is cut or left out."""
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for k, n in enumerate(size.tolist()):
+        if held and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def _free(name: str, key: list[str]) -> str:
     """The name of an added column; a key column of that name keeps it."""
     return name if name not in key else f"reject_{name}"
@@ -167,7 +180,7 @@ def judge_records(df: DataFrame, text: str, layout: Layout, key: list[str]) -> D
     schema = df.select(*[F.col(f"`{c}`") for c in key]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, len(key))):
             reason, fields = judge(b.column(len(key)), layout)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(k) for k in range(len(key))), pa.array(reason, pa.string()), *fields],

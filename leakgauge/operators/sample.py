@@ -37,6 +37,21 @@ def coin(position: str, seed: int = 42) -> Column:
     return toss(position)
 
 
+def shuffled(position: str, size: Column, seed: int = 42) -> Column:
+    """Places 0 to ``size`` - 1 in the order of the item at ``position``; it depends on seed, position and size only."""
+
+    @F.pandas_udf("array<int>")
+    def order(i: pd.Series, k: pd.Series) -> pd.Series:
+        def one(pos: int, n: int) -> list[int]:
+            places = list(range(int(n)))
+            random.Random(seed + int(pos)).shuffle(places)
+            return places
+
+        return pd.Series([None if pd.isna(a) or pd.isna(n) else one(a, n) for a, n in zip(i, k)], dtype=object)
+
+    return order(F.col(position), size)
+
+
 def permuted(choices: Column, perm: Column) -> Column:
     return F.transform(perm, lambda i: F.get(choices, i))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,17 +165,7 @@ def option_permutation(spark: SparkSession, d: str) -> DataFrame:
     one = ledger.last_wins(t.select("i", "line_no", "truth_idx", "secenekler"), ["i"], "line_no")
     vals = split_packed(one, "secenekler").groupBy("i").agg(F.max("truth_idx").alias("truth_idx"), F.sort_array(F.collect_list(F.struct("pos", "val"))).alias("v"))
     vals = vals.select("i", "truth_idx", F.col("v.val").alias("choices"))
-    # The shuffle depends on the item's seed and the number of choices only.
-    @F.pandas_udf("array<int>")
-    def perm(i: pd.Series, k: pd.Series) -> pd.Series:
-        orders = []
-        for seed, n in zip(i, k):
-            order = list(range(n))
-            random.Random(42 + int(seed)).shuffle(order)
-            orders.append(order)
-        return pd.Series(orders)
-
-    got = vals.withColumn("perm", perm("i", F.size("choices")))
+    got = vals.withColumn("perm", sample.shuffled("i", F.size("choices")))
     return got.select("i", sample.permuted(F.col("choices"), F.col("perm")).alias("shuffled"), sample.new_letter(F.col("perm"), F.col("truth_idx")).alias("new_letter"))
 
 

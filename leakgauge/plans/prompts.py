@@ -41,11 +41,15 @@ def planted_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """The opening words of each held-out question, for a model to go on from, and what follows."""
-    words = F.split(F.trim("soru"), r"\s+")
-    half = F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))
-    t = table(spark, d, "heldout_items").where(F.length(F.trim("soru")) > 0).select("item_id", words.alias("w"), half.alias("k"))
-    return t.select("item_id", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("opening"), F.array_join(F.slice("w", F.col("k") + 1, F.greatest(F.size("w") - F.col("k"), F.lit(0))), " ").alias("rest"))
+    """Prompts that ask for the exact text of each held-out answer."""
+    return table(spark, d, "heldout_items").select("item_id", it.recall_text(F.col("soru")).alias("prompt"), F.col("cevap").alias("truth_text"))
+
+
+def recall_exam_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The same for exam items: options in the item's own order, and the true one's text."""
+    t = _exam(spark, d).where("truth_idx is not null").withColumn("perm", sample.shuffled("i", F.size("choices")))
+    truth = F.coalesce(F.get("choices", F.col("truth_idx")), F.lit(""))
+    return t.select("i", it.recall_text(F.col("soru"), sample.permuted(F.col("choices"), F.col("perm"))).alias("prompt"), truth.alias("truth_text"))
 
 
 def flip_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +106,7 @@ def answers_wide(spark: SparkSession, d: str) -> DataFrame:
     return cells.arms_wide(last, ["model"], ["i"], "probe_type", ["blackbox", "choice_sub"], "letter")
 
 
-QUERIES = {f.__name__: f for f in (exam_prompts, planted_prompts, recall_prompts, flip_prompts, call_records, m1_summary, mismatch_sample, naive_lists, cells_json, answers_wide)}
+QUERIES = {f.__name__: f for f in (exam_prompts, planted_prompts, recall_prompts, recall_exam_prompts, flip_prompts, call_records, m1_summary, mismatch_sample, naive_lists, cells_json, answers_wide)}
 
 _P = letters.parse_letter_sql("raw", "pilot")
 _LO, _HI = stats.wilson_sql("verbatim_hits", "n")
@@ -113,8 +117,7 @@ SQL = {
       n as (select item_id, soru, trim(cevap) as t, trim(coalesce(lead(cevap) over w, first_value(cevap) over w)) as e from heldout_items window w as (partition by bench order by item_id))
       select item_id, case when truth_first then 'A' else 'B' end as truth_letter, 'Soru: ' || soru || chr(10) || chr(10) || 'Hangisi doğru cevaptır?' || chr(10) || 'A) ' || case when truth_first then t else e end
       || chr(10) || 'B) ' || case when truth_first then e else t end || chr(10) || chr(10) || 'Cevap (tek harf A/B):' as prompt from n join c using (item_id) where length(t) > 0 and length(e) > 0 and t <> e""",
-    "recall_prompts": """with w as (select item_id, regexp_split_to_array(trim(soru), '\\s+') as w from heldout_items where length(trim(soru)) > 0), h as (select *, greatest(1, len(w) // 2) as k from w)
-      select item_id, array_to_string(w[1:k], ' ') as opening, array_to_string(w[k + 1:], ' ') as rest from h""",
+    "recall_prompts": f"""select item_id, 'Soru: ' || soru || '{it.RECALL_ANSWER.replace(chr(10), "' || chr(10) || '")}' as prompt, cevap as truth_text from heldout_items""",
     "cells_json": """with l as (select * from m1_smoke qualify row_number() over (partition by i, model, seed order by line_no desc) = 1),
       c as (select model, count(*) as n, count(*) filter (where coalesce(verbatim_hit, false)) as verbatim_hits, round(avg(coalesce(overlap8, 0)), 4) as mean_overlap8, round(stddev_pop(coalesce(overlap8, 0)), 4) as overlap8_sd
         from l where raw is not null group by model),

@@ -14,8 +14,7 @@ def struct(ddl: str) -> T.StructType:
 MC_ITEM = ("source string, subject string, question string, choices string, answer string, answer_idx string, cot string")
 #: Question and answer items as published.
 QA_ITEM = ("source string, question string, answer string, category string, qid string, edited_answer string, label string")
-#: One article file; ``questions`` is an object or that object as text.
-ARTICLE = ("questions string, title string")
+#: What the ``questions`` of an article file hold, an object or that object as text.
 QUESTIONS = ("items array<struct<question string, answer string, category string>>")
 
 USAGE = (
@@ -30,6 +29,3 @@ LEDGER = (
     "parsed_letter string, answer_correct boolean, flip_follow boolean, translation string, arm string, "
     "qa_match boolean, qa_level string, qa_sim double, qa_match_lenient boolean, gold_used string"
 )
-CHECKPOINT = ("ts string, calls_logged bigint, accumulated_cost_est_usd double, cost_cap_usd double, abort boolean")
-#: A page of an encyclopedia dump.
-PAGE = ("title string, ns int, id bigint, redirect string, revision struct<text string>")

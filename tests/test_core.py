@@ -304,3 +304,25 @@ def test_spread_looks_at_the_scan_only(spark, tmp_path):
     many = spread(spark.read.parquet(str(tmp_path / "many")))
     assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
     assert spread(spark.createDataFrame([(1,)], "a int")).count() == 1
+
+
+def test_capped_build_reads_no_further(spark, monkeypatch):
+    docs = spark.range(50).selectExpr("id * 3 as doc_id", "concat_ws(' ', transform(sequence(0, 15), x -> concat('w', id, '_', x))) as text")
+    want = {r.doc_id: r.kept for r in overlap.capped_grams(docs, "doc_id", "text", 21).collect()}
+    reach = overlap._reach
+    monkeypatch.setattr(overlap, "_reach", lambda *a: reach(*a, first=2))
+    assert overlap._reach(docs, "doc_id", "text", 21, 13) == 32
+    assert {r.doc_id: r.kept for r in overlap.capped_grams(docs, "doc_id", "text", 21).collect()} == want
+    assert overlap.capped_keys(docs, "doc_id", "text", 21).count() == 21 and overlap._reach(docs.limit(0), "doc_id", "text", 1, 13) is None
+
+
+def test_shuffled_order(spark):
+    import random
+
+    got = {(r.k, r.n): r.o for r in spark.createDataFrame([(0, 4), (9, 30), (9, 0), (None, 2)], "k bigint, n int").withColumn("o", sample.shuffled("k", F.col("n"))).collect()}
+    for (k, n), order in got.items():
+        want = None
+        if k is not None:
+            want = list(range(n))
+            random.Random(42 + k).shuffle(want)
+        assert order == want

@@ -57,3 +57,15 @@ def test_operator(spark):
     assert {x.k for x in r.judge_cells(cells, "v", r.is_digits, ["k"]).where("reason is not null").collect()} == {2, 4, 5}
     clash = r.judge_cells(cells.withColumnRenamed("k", "reason"), "v", r.is_digits, ["reason"])
     assert clash.columns == ["reason", "reject_reason"] and clash.where("reject_reason is not null").count() == 3
+
+
+def test_slices_bound_the_bytes():
+    import pyarrow as pa
+    from leakgauge.operators.rejects import slices
+
+    texts = ["a" * 10, None, "b" * 500, "c", "d" * 90, "", "e" * 11]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["k", "t"])
+    parts = list(slices(batch, 1, 100))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert all(sum(len(x or "") for x in p.column(1).to_pylist()) <= 100 or len([x for x in p.column(1).to_pylist() if x]) == 1 for p in parts)
+    assert [p.num_rows for p in slices(batch, 1, 10**6)] == [7] and not list(slices(batch.slice(7), 1, 5))
