@@ -400,7 +400,7 @@ def is_error(s: str, f: str, prompt: str) -> bool:
 def ending(answer: str) -> str:
     """How an answer closes: ``closed``, ``open`` (something in it isn't closed) or ``bare``."""
     s = seen(answer)
-    s = re.sub(r"\s*```\s*$", "", s) if s.count("```") % 2 == 0 else s
+    s = re.sub(r"\s*```\s*$", "", s) if "```" in s and s.count("```") % 2 == 0 else s
     f = fold(s)
     if s.count("```") % 2 or s.count("**") % 2 and not s.endswith("*"):
         return "open"
@@ -411,7 +411,7 @@ def ending(answer: str) -> str:
         return "open"
     if f.count("(") > f.count(")") and f.rfind("(") > f.rfind(")"):
         return "open"
-    if s.count("“") > s.count("”") or re.sub(r"\w\"|[^\w]\"$", "", s).count('"') % 2 and s.count('"') % 2:
+    if s.count("“") > s.count("”") or s.count('"') % 2 and re.sub(r"\w\"|[^\w]\"$", "", s).count('"') % 2:
         return "open"
     return "closed" if _CLOSED.search(s[-1:]) else "bare"
 
@@ -522,7 +522,7 @@ def context_tokens(answer: str) -> list[str]:
 
 
 def _ids(ws: list[str]) -> list[int]:
-    if len(_SEEN) > 500_000:
+    if len(_SEEN) > 200_000:
         _SEEN.clear()
         _BEGIN.clear()
     out = []
@@ -557,21 +557,17 @@ def going_on(answers: list[str]) -> tuple[np.ndarray, np.ndarray]:
     count as contexts of two tokens that go on by letters.
     """
     hs: list[int] = []
-    on: list[np.ndarray] = []
-    first: list[np.ndarray] = []
+    size, last = [], []
     for a in answers:
         ws = context_tokens(a)
-        last = max((k for k, w in enumerate(ws) if w[0].isalnum()), default=-1)
         hs += _ids([_START, *ws])
-        go = np.zeros(len(ws) + 1, dtype=bool)
-        go[1 : last + 1] = True
-        on.append(go)
-        at = np.full(len(ws) + 1, 2, dtype=np.int8)
-        at[:2] = (0, 1)[: len(at)]
-        first.append(at)
+        size.append(len(ws) + 1)
+        last.append(next((k for k in range(len(ws), 0, -1) if ws[k - 1][0].isalnum()), 0))
     if not hs:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, go, at = np.array(hs, dtype=np.uint64), np.concatenate(on), np.concatenate(first)
+    h = np.array(hs, dtype=np.uint64)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)  # place in its text, 0 being the start
+    go = (at > 0) & (at < np.repeat(last, size))
     keys = []
     for n in (1, 2, 3):
         k = np.flatnonzero(go & (at >= n - 1))
@@ -579,12 +575,11 @@ def going_on(answers: list[str]) -> tuple[np.ndarray, np.ndarray]:
     key, n = np.unique(np.concatenate(keys), return_counts=True)
     # Beginnings, worked out once for each pair of neighbours.
     k = np.flatnonzero(at >= 1)
-    pair = np.stack([h[k - 1], h[k]], axis=1)
-    pair, m = np.unique(pair, axis=0, return_counts=True)
-    begins = [_BEGIN.get(int(w), ()) for w in pair[:, 1]]
+    _, one, m = np.unique(_mixed(h[k - 1], h[k]), return_index=True, return_counts=True)
+    begins = [_BEGIN.get(w, ()) for w in h[k[one]].tolist()]
     size = np.array([len(b) for b in begins])
     if size.sum():
-        more = _mixed(np.repeat(pair[:, 0], size), np.concatenate([b for b in begins if len(b)]))
+        more = _mixed(np.repeat(h[k[one] - 1], size), np.concatenate([b for b in begins if len(b)]))
         key, n = np.concatenate([key, more]), np.concatenate([n, np.repeat(m, size)])
     key, at = np.unique(key, return_inverse=True)
     return key.astype(np.int64), np.bincount(at, weights=n).astype(np.int64)
