@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import count, product
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -351,28 +352,40 @@ def split_packed(df: DataFrame, field: str, out_pos: str = "pos", out_val: str =
     rows = spread(df.select(keep.alias("keep"), F.col(f"`{field}`").alias("text")).where(F.length(F.trim("text")) > 0))
     kind = rows.schema["keep"].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Fields by notation, and the dictionary's counts of the batch."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fields by notation, and the dictionary's counts of the batch; what is kept beside a field isn't touched."""
         for b in batches:
             words: Counter[tuple[int, str]] = Counter()
-            out = []
-            for k, t in zip(b["keep"], b["text"]):
+            at, vals, bare, delims = [], [], [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
                 how, values = _parsed(t)
+                if how == "empty":
+                    continue
+                at.append(k)
                 if how == "bare":
-                    out.append((k, None, values[0], sorted({p[2] for p in pieces(values[0])} - {""}), None, None, None, None))
-                elif how != "empty":
-                    out.append((k, values, None, None, None, None, None, None))
+                    vals.append(None)
+                    bare.append(values[0])
+                    delims.append(sorted({p[2] for p in pieces(values[0])} - {""}))
+                else:
+                    vals.append(values)
+                    bare.append(None)
+                    delims.append(None)
                     for v in filter(None, values):
                         words[VALUE, v] += 1
             for (_, v), n in list(words.items()):
                 words[BEGINS, first_word(v)] += n
                 for w in {first_word(x) for x in _BEHIND.findall(v)} - {""}:
                     words[CONTINUES, w] += n
-            out += [(None, None, None, None, how, w, n, first_word(w)) for (how, w), n in words.items()]
-            if out:
-                yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype="Int64" if c in ("kind", "n") else object) for i, c in enumerate(("keep", "vals", "bare", "delims", "kind", "word", "n", "first"))})
-
-    looked = cut(rows.mapInPandas(read, f"keep {kind}, vals array<string>, bare string, delims array<string>, kind int, word string, n long, first string"))
+            none, rows_ = [None] * len(words), [None] * len(at)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(pa.array(at + none, pa.int64())), pa.array(vals + none, pa.list_(pa.string())), pa.array(bare + none, pa.string()), pa.array(delims + none, pa.list_(pa.string())),
+                    pa.array(rows_ + [k for k, _ in words], pa.int32()), pa.array(rows_ + [w for _, w in words], pa.string()), pa.array(rows_ + list(words.values()), pa.int64()), pa.array(rows_ + [first_word(w) for _, w in words], pa.string()),
+                ],
+                names=["keep", "vals", "bare", "delims", "kind", "word", "n", "first"],
+            )
+
+    looked = cut(rows.mapInArrow(read, f"keep {kind}, vals array<string>, bare string, delims array<string>, kind int, word string, n long, first string"))
     sure = looked.where("vals is not null").select("keep", "vals")
     bare = looked.where("bare is not null").select("keep", F.col("bare").alias("text"), "delims")
     entries = looked.where("word is not null").groupBy("kind", "word", "first").agg(F.sum("n").alias("n"))
@@ -423,19 +436,20 @@ def _by_dictionary(bare: DataFrame, entries: DataFrame, comma_separates: bool) -
     visits = fields.select("rid", "keep", "text", F.explode(F.array_distinct(F.transform(begins("text"), shard))).alias("shard"))
     visits = visits.select("shard", F.pmod("rid", F.lit(SALTS)).cast("int").alias("salt"), nothing.cast("int").alias("kind"), nothing.cast("string").alias("word"), nothing.cast("bigint").alias("n"), "rid", "keep", "text")
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Known values in the fields of each shard; its dictionary comes before them."""
         import ahocorasick
 
-        now, auto, follow, starts = None, None, set(), set()
+        now, auto, follow, starts, ready = None, None, set(), set(), False
         for b in batches:
-            out = []
-            for sh, salt, how, word, n, rid, keep, text in zip(*(b[c].tolist() for c in ("shard", "salt", "kind", "word", "n", "rid", "keep", "text"))):
+            at, rids, spans, conts = [], [], [], []
+            columns = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("shard", "salt", "kind", "word", "n", "rid", "text"))
+            for k, (sh, salt, how, word, n, rid, text) in enumerate(zip(*columns)):
                 if (sh, salt) != now:
                     now, auto, follow, starts, ready = (sh, salt), ahocorasick.Automaton(), set(), set(), False
                 if text is None:
                     if how == VALUE:
-                        auto.add_word(word, (word, int(n)))
+                        auto.add_word(word, (word, n))
                     else:
                         (starts if how == BEGINS else follow).add(word)
                     continue
@@ -444,14 +458,17 @@ def _by_dictionary(bare: DataFrame, entries: DataFrame, comma_separates: bool) -
                     if len(auto):
                         auto.make_automaton()
                 ps = pieces(text)
-                spans = known_spans(text, auto, ps) if len(auto) else []
-                conts = [w for w in {first_word(text, p[0], p[1]) for p in ps} if w in follow and w not in starts] if follow else []
-                out.append((int(rid), keep, text, spans, conts))
-            if out:
-                yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=object if i else "int64") for i, c in enumerate(("rid", "keep", "text", "spans", "conts"))})
+                at.append(k)
+                rids.append(rid)
+                spans.append(known_spans(text, auto, ps) if len(auto) else [])
+                conts.append([w for w in {first_word(text, p[0], p[1]) for p in ps} if w in follow and w not in starts] if follow else [])
+            if at:
+                some = pa.array(at, pa.int64())
+                kept, texts = (b.column(b.schema.get_field_index(c)).take(some) for c in ("keep", "text"))
+                yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), kept, texts, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(conts, pa.list_(pa.string()))], names=["rid", "keep", "text", "spans", "conts"])
 
     both = values.unionByName(visits).repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("kind").isNull())
-    hits = both.mapInPandas(match, f"rid long, keep {kind}, text string, spans array<array<int>>, conts array<string>")
+    hits = both.mapInArrow(match, f"rid long, keep {kind}, text string, spans array<array<bigint>>, conts array<string>")
     each = hits.groupBy("rid").agg(F.first("keep").alias("keep"), F.first("text").alias("text"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("conts")).alias("conts"))
 
     @F.pandas_udf("array<string>")
