@@ -23,6 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -280,19 +281,22 @@ def settled(rows: DataFrame, min_count: int = 2, limit: float = LIMIT) -> DataFr
     kind = rows.schema["keep"].dataType.simpleString()
     made = "keep " + kind + ", text string, tokens array<string>, word string, n long"
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Odd texts with their odd tokens, and the batch's words with their counts; ``keep`` isn't touched."""
         for b in batches:
             said: Counter[str] = Counter()
-            out = []
-            for k, t in zip(b["keep"], b["text"]):
+            at, texts, tokens = [], [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
                 said.update(_WORD.findall(t))
                 if _ODD.search(t):
-                    out.append((k, t, odd_tokens(t), None, None))
-            out += [(None, None, None, w, n) for w, n in said.items()]
-            if out:
-                yield pd.DataFrame({c: pd.Series([o[i] for o in out], dtype=object if c != "n" else "Int64") for i, c in enumerate(("keep", "text", "tokens", "word", "n"))})
-
-    looked = cut(spread(rows.where(F.length("text") > 0)).mapInPandas(look, made))
+                    at.append(k)
+                    texts.append(t)
+                    tokens.append(odd_tokens(t))
+            none, gap = [None] * len(said), [None] * len(at)
+            columns = [pa.array(texts + none, pa.string()), pa.array(tokens + none, pa.list_(pa.string())), pa.array(gap + list(said), pa.string()), pa.array(gap + list(said.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + none, pa.int64())), *columns], names=["keep", "text", "tokens", "word", "n"])
+
+    looked = cut(spread(rows.where(F.length("text") > 0)).mapInArrow(look, made))
     words = looked.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     odd = looked.where("text is not null").select("keep", "text", "tokens").withColumn("rid", F.monotonically_increasing_id())
     pairs = odd.select("rid", F.explode("tokens").alias("token"))

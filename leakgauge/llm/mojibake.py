@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -396,19 +397,21 @@ def repaired(df: DataFrame, text: str, key: list[str]) -> DataFrame:
     rows = spread(df.select(keep, F.col(f"`{text}`").alias("text")).where(F.length("text") > 0))
     kind = rows.schema["keep"].dataType.simpleString()
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for k, t in zip(b["keep"].to_dict("records") if isinstance(b["keep"], pd.DataFrame) else b["keep"], b["text"]):
+            at, out = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
                 if _SUSPECT.search(t):
                     fixed, hit, stopped = search_told(t)
                     thorns = thorn_words(fixed)
                     if hit or thorns or stopped:
-                        out.append((k, fixed, hit, stopped, thorns))
-            if out:
-                yield pd.DataFrame(out, columns=["keep", "fixed", "hit", "stopped", "thorns"])
+                        at.append(k)
+                        out.append((fixed, hit, stopped, thorns))
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()))
+            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *columns], names=["keep", "fixed", "hit", "stopped", "thorns"])
 
-    done = cut(rows.mapInPandas(look, f"keep {kind}, fixed string, hit boolean, stopped boolean, thorns array<string>"))
+    done = cut(rows.mapInArrow(look, f"keep {kind}, fixed string, hit boolean, stopped boolean, thorns array<string>"))
     own = [F.col("keep").getField(f"k{i}").alias(c) for i, c in enumerate(key)]
     doubtful = done.where(F.size("thorns") > 0)
     if doubtful.isEmpty():

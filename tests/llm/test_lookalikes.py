@@ -108,3 +108,12 @@ def test_vocabulary_decides_and_shards_agree(spark, monkeypatch):
     for size in (20_000, 1):
         monkeypatch.setattr(lk, "SHARD_WORDS", size)
         assert fixed(spark, texts)[-2:] == ["ışık", "kelimeb"]
+
+
+def test_other_columns_stay_as_they_are(spark):
+    """Whatever their types: also a number that is none, nested values and nulls."""
+    rows = [(1, "kurаlı", float("nan"), [1, None], {"q": None}, b"\x00\xff", 2**60), (2, "düz", None, None, None, None, None), (3, "ku\u200bral", 0.5, [], {}, b"", None)]
+    df = spark.createDataFrame(rows, "k int, t string, f double, a array<int>, m map<string,int>, b binary, big bigint").selectExpr("*", "timestamp'2024-03-31 02:30:00.123456' as ts", "struct(k as u, array(t, null) as v) as st")
+    got = lk.consistent(df, "t")
+    assert sorted(map(str, got.drop("consistent").collect())) == sorted(map(str, df.collect()))
+    assert {r.k: r.consistent for r in got.collect()} == {1: "kuralı", 2: "düz", 3: "kural"}
